@@ -14,6 +14,8 @@ from rasterweave.plans.config import RunConfig
 from rasterweave.functions.catalog import get_filter
 from rasterweave.sources import bmp
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
 
 def filter_images(images: DataFrame, codes: list[str]) -> DataFrame:
     """img, content: whole images (small ones) through one or more filters, each in its own task."""
@@ -42,7 +44,7 @@ def run_stream(spark: SparkSession, folder: str, codes: list[str], out: str, che
 
     A batch that is run again writes the same files again under the same names.
     """
-    stream = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.bmp")
+    stream = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.bmp")
     if max_files:
         stream = stream.option("maxFilesPerTrigger", max_files)
     if max_bytes:
