@@ -30,6 +30,8 @@ from rasterweave.llm.components import components
 from rasterweave.llm.words import shingle_sets
 
 BINS, BANDS = 128, 32
+#: Document ids are broadcast to pick texts up to this many (8 bytes each); beyond it both sides are shuffled.
+BROADCAST_IDS = 4_000_000
 ROWS = BINS // BANDS
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
@@ -89,7 +91,8 @@ def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b`` with the exact shared count and union of their sets, made again from the texts that pairs name."""
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    chosen = texts.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    few = ends.count() <= BROADCAST_IDS
+    chosen = texts.join(F.broadcast(ends) if few else ends, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     sets = map_pieces(chosen, _sets, "id long, shingles array<long>")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
