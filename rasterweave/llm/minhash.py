@@ -4,8 +4,9 @@ Each set is hashed once; the top bits choose one of 128 bins and the least value
 signature. An empty bin borrows from a bin chosen by a universal hash of (bin, attempt), which gives
 the optimal variance. 32 bands of 4 bins are bucket keys. In a bucket, every member is paired with the
 smallest one (a star), so pairs grow with members; every pair is confirmed on the full sets. Members
-that their centre did not hold are then compared with the bucket's members of other components, so no
-link inside a bucket is lost: by the triangle inequality of the Jaccard distance most need no look.
+that their centre did not hold are then compared with a few others of the bucket, and those still apart
+with all members of other components, so no link inside a bucket is lost: by the triangle inequality of
+the Jaccard distance many need no look.
 
 A pair of similarity 0.75 shares no band with probability (1 - 0.75**4)**32, about 5 in a million.
 
@@ -30,6 +31,10 @@ from rasterweave.llm.components import components
 from rasterweave.llm.words import shingle_sets
 
 BINS, BANDS = 128, 32
+#: Members of a bucket that strays are compared with before all others.
+SAMPLE = 4
+#: Hashed places of a count vector, and strays or members in a block.
+PLACES, BLOCK = 8192, 512
 #: Document ids are broadcast to pick texts up to this many (8 bytes each); beyond it both sides are shuffled.
 BROADCAST_IDS = 4_000_000
 ROWS = BINS // BANDS
@@ -101,6 +106,65 @@ def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).cast("long").alias("total")).withColumn("united", F.col("total") - F.col("shared")).drop("total")
 
 
+def _placed(larger: DataFrame, found: DataFrame) -> DataFrame:
+    """Bucket members with their component and whether it is another than their centre's."""
+    member = found.select(F.col("node").alias("id"), "component")
+    centre = found.select(F.col("node").alias("centre"), F.col("component").alias("centre_component"))
+    both = larger.join(member, "id", "left").join(centre, "centre", "left")
+    own, its = F.coalesce("component", "id"), F.coalesce("centre_component", "centre")
+    return both.select("key", "id", "n", "far", own.alias("component"), (own != its).alias("apart"))
+
+
+def _against_some(placed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Strays against up to SAMPLE members of their bucket, by hash: most strays of a large group meet their component here."""
+    picks = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))).alias(f"p{k}") for k in range(SAMPLE)]
+    some = placed.groupBy("key").agg(*picks).select("key", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(SAMPLE)]))).alias("p")).select("key", "p.b", "p.nb", "p.cb")
+    return placed.where("apart").join(some, "key").where((F.col("component") != F.col("cb")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent)).select("id", "b")
+
+
+def _places(batch: pa.RecordBatch) -> pa.RecordBatch:
+    made = [(s % np.uint64(PLACES)).astype(np.uint16).tobytes() for s in shingle_sets(*utf8(batch.column("text")))]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], ["id", "places"])
+
+
+def _against_all(placed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Strays against every member of another component, block by block.
+
+    A set becomes counts over PLACES hashed places. The product of two count vectors is at least the size
+    of the intersection, so a pair that fails on it fails on the sets, and no link is lost. Groups are
+    blocks of strays and members of one bucket, so a task's size doesn't follow the bucket's.
+    """
+    counts = placed.groupBy("key").agg(F.count("*").alias("members"), F.count_if("apart").alias("strays")).where("strays > 0")
+    split = counts.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("sb"))
+    rows = placed.join(split, "key")
+    ends = rows.select(F.col("id").alias("doc_id")).distinct()
+    few = ends.count() <= BROADCAST_IDS
+    chosen = texts.join(F.broadcast(ends) if few else ends, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    rows = rows.join(map_pieces(chosen, _places, "id long, places binary"), "id")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    body = ["key", "id", "n", "far", "component", "places"]
+    members = rows.withColumn("s", F.explode(every("sb"))).select(*body, F.pmod(F.xxhash64("id"), "mb").cast("int").alias("m"), "s", F.lit(False).alias("stray"))
+    strays = rows.where("apart").withColumn("m", F.explode(every("mb"))).select(*body, "m", F.pmod(F.xxhash64("id"), "sb").cast("int").alias("s"), F.lit(True).alias("stray"))
+
+    def block(table: pa.Table) -> pa.Table:
+        stray = table.column("stray").to_numpy()
+        ids, n, component = (table.column(c).to_numpy() for c in ("id", "n", "component"))
+        far = table.column("far").to_numpy().astype(np.float64)
+        counts = np.zeros((len(ids), PLACES), dtype=np.float32)
+        for i, p in enumerate(table.column("places").to_pylist()):
+            counts[i] = np.bincount(np.frombuffer(p, np.uint16), minlength=PLACES)
+        a, b = np.flatnonzero(stray), np.flatnonzero(~stray)
+        shared = counts[a] @ counts[b].T
+        keep = 100 * shared >= percent * (n[a][:, None] + n[b][None, :] - shared)
+        keep &= np.minimum(n[a][:, None], n[b][None, :]) * 100 >= np.maximum(n[a][:, None], n[b][None, :]) * percent
+        keep &= component[a][:, None] != component[b][None, :]
+        keep &= ~(np.abs(far[a][:, None] - far[b][None, :]) > 1 - percent / 100 + 1e-9)
+        i, j = np.nonzero(keep)
+        return pa.table({"id": ids[a[i]], "b": ids[b[j]]})
+
+    return members.unionByName(strays).groupBy("key", "m", "s").applyInArrow(block, "id long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, folder: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; links need ``100 * shared >= percent * united``."""
     spark = docs.sparkSession
@@ -119,26 +183,21 @@ def near_duplicates(docs: DataFrame, percent: int = 75, folder: str | None = Non
     links = checked.where(F.col("shared") * 100 >= F.col("united") * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
     found = saved(components(links, folder, "first"), folder, "first")
 
-    # Members apart from their bucket's centre against the bucket's other components.
-    comp = found.select(F.col("node").alias("id"), "component")
-    centre_comp = found.select(F.col("node").alias("centre"), F.col("component").alias("centre_component"))
+    # Members apart from their bucket's centre: first against a few members of the bucket, then against all.
     known = checked.select(F.col("a").alias("centre"), F.col("b").alias("id"), (1 - F.col("shared") / F.col("united")).alias("far"))
-    larger = stars.where("members > 2").join(comp, "id", "left").join(centre_comp, "centre", "left").join(known, ["centre", "id"], "left")
-    larger = larger.select("key", "id", "n", "far", F.coalesce("component", "id").alias("component"), F.coalesce("centre_component", "centre").alias("centre_component"))
-    larger = saved(larger, folder, "larger")
-    apart = larger.where("component <> centre_component")
-    reach = 1 - percent / 100 + 1e-9
-    other = larger.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("far").alias("fb"), F.col("component").alias("cb"), (F.col("component") != F.col("centre_component")).alias("apart_b"))
-    cross = apart.join(other, "key").where((F.col("component") != F.col("cb")) & (~F.col("apart_b") | (F.col("id") < F.col("b"))) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent) & F.coalesce(F.abs(F.col("far") - F.col("fb")) <= reach, F.lit(True)))
-    more = cross.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    more = saved(more.join(checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), folder, "more")
-    if more.isEmpty():
-        final = found
-    else:
-        extra = _confirm(more, texts).where(F.col("shared") * 100 >= F.col("united") * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        final = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(extra), folder, "second")
-
-    labelled = nodes.select("mark", "id").join(final.select(F.col("node").alias("id"), "component"), "id", "left").select("mark", F.coalesce("component", "id").alias("component"))
+    larger = saved(stars.where("members > 2").select("key", "centre", "id", "n").join(known, ["centre", "id"], "left"), folder, "larger")
+    tested = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for name, compare in (("some", _against_some), ("all", _against_all)):
+        placed = saved(_placed(larger, found), folder, f"placed-{name}")
+        near = compare(placed, texts, percent).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+        more = saved(near.join(tested, ["a", "b"], "left_anti"), folder, f"more-{name}")
+        if not more.isEmpty():
+            looked = saved(_confirm(more, texts), folder, f"checked-{name}")
+            extra = looked.where(F.col("shared") * 100 >= F.col("united") * percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+            found = saved(components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(extra), folder, f"found-{name}"), folder, f"found-{name}")
+            tested = tested.unionByName(looked.select("a", "b"))
+
+    labelled = nodes.select("mark", "id").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("mark", F.coalesce("component", "id").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "mark").join(labelled, "mark", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
