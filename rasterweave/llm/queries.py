@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rasterweave.llm import minhash, mixing
+from rasterweave.llm import minhash, mixing, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +19,7 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_minhash_near_dedup": lambda s, d: minhash.near_duplicates(_docs(s, d)),
+        "op7_exact_top_k": lambda s, d: topk.top_k(s.read.parquet(f"{d}/embeddings.parquet"), F.col("vec_id") % 50 == 0),
         "op9_source_mixing": lambda s, d: mixing.shares(_docs(s, d)),
     }
 
@@ -49,5 +51,12 @@ e as (select *, case when source_size > 0 then budget // source_size else 0 end
 select doc_id, size, source_size, target, (ep * size + greatest(0, least(size, budget - ep * source_size - (upto - size))))::bigint taken from e"""
 
 
+def topk_sql(table: str = "embeddings") -> str:
+    return f"""with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) q from {table} where embedding is not null and vec_id is not null),
+p as (select a.vec_id query_id, b.vec_id, cast(list_dot_product(a.q, b.q) as bigint) score from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from p)
+select * from r where rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": minhash_sql(), "op9_source_mixing": mixing_sql()}
+    return {"op2_minhash_near_dedup": minhash_sql(), "op7_exact_top_k": topk_sql(), "op9_source_mixing": mixing_sql()}
