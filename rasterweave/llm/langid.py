@@ -28,6 +28,7 @@ from rasterweave.llm.common import map_pieces, utf8
 WINDOW, PAD = 256, 0
 WIDTHS, FILTERS, DEPTH = (2, 3, 4), 12, 8
 TRAIN_DOCS, TRAIN_WINDOWS = 500, 4
+SALTS = 64
 EPOCHS, RATE, DECAY = 8, 0.004, 1e-5
 #: Windows that are scored at once; their partial sums stay in a core's cache.
 CHUNK = 64
@@ -152,8 +153,11 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame) -> Network | None:
     """A network from the labelled rows that are not held out; None if there are none."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_DOCS).select("doc_id", "lang").distinct()
+    ids = labelled.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).alias("salt"))
+    for keys in (["lang", "salt"], ["lang"]):  # the first narrows each language in many tasks
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_DOCS).drop("k")
+    ids = ids.select("doc_id", "lang").distinct()
     sample = labelled.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm import langid, minhash, mixing, topk
+from rasterweave.llm import bpe, langid, matroska, minhash, mixing, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_language_id": lambda s, d: langid.identify(_docs(s, d)),
         "op2_minhash_near_dedup": lambda s, d: minhash.near_duplicates(_docs(s, d)),
+        "op3_bpe_codec": lambda s, d: bpe.digests(_docs(s, d)),
+        "op5_matroska_media": lambda s, d: matroska.media_digests(_docs(s, d)),
         "op7_exact_top_k": lambda s, d: topk.top_k(s.read.parquet(f"{d}/embeddings.parquet"), F.col("vec_id") % 50 == 0),
         "op9_source_mixing": lambda s, d: mixing.shares(_docs(s, d)),
     }
