@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm import bpe, langid, matroska, minhash, mixing, pii, topk
+from rasterweave.llm import bpe, langid, lines, matroska, minhash, mixing, pii, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op7_exact_top_k": lambda s, d: topk.top_k(s.read.parquet(f"{d}/embeddings.parquet"), F.col("vec_id") % 50 == 0),
         "op8_pii": lambda s, d: pii.scan(_docs(s, d)),
         "op9_source_mixing": lambda s, d: mixing.shares(_docs(s, d)),
+        "op10_line_dedup": lambda s, d: lines.digests(_docs(s, d)),
     }
 
 

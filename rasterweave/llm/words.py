@@ -43,14 +43,23 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+class Spans:
+    """64-bit hashes of any byte spans of a buffer: polynomial prefix sums, then mixing with the length."""
+
+    def __init__(self, data: np.ndarray):
+        powers, self.inverse = _power_tables(len(data) + 1)
+        self.prefix = np.zeros(len(data) + 1, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(_VALUES[data] * powers[: len(data)], out=self.prefix[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            raw = (self.prefix[ends] - self.prefix[starts]) * self.inverse[starts]
+            return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: polynomial prefix sums, then mixing with the length."""
-    powers, inverse = _power_tables(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum(_VALUES[data] * powers[: len(data)], out=prefix[1:])
-        raw = (prefix[ends] - prefix[starts]) * inverse[starts]
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    return Spans(data).hashes(starts, ends)
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
