@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterweave.llm import bpe, langid, lines, matroska, minhash, mixing, pii, topk
+from rasterweave.llm import bpe, langid, licenses, lines, matroska, minhash, mixing, pii, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op1_language_id": lambda s, d: langid.identify(_docs(s, d)),
         "op2_minhash_near_dedup": lambda s, d: minhash.near_duplicates(_docs(s, d)),
         "op3_bpe_codec": lambda s, d: bpe.digests(_docs(s, d)),
+        "op4_license_scan": lambda s, d: licenses.scan(_docs(s, d)),
         "op5_matroska_media": lambda s, d: matroska.media_digests(_docs(s, d)),
         "op7_exact_top_k": lambda s, d: topk.top_k(s.read.parquet(f"{d}/embeddings.parquet"), F.col("vec_id") % 50 == 0),
         "op8_pii": lambda s, d: pii.scan(_docs(s, d)),
