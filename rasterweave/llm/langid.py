@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterweave.llm.common import map_pieces, utf8
+from rasterweave.llm.common import bounded_batches, map_pieces, pieces, utf8
 
 WINDOW, PAD = 256, 0
 WIDTHS, FILTERS, DEPTH = (2, 3, 4), 12, 8
@@ -33,6 +33,8 @@ EPOCHS, RATE, DECAY = 8, 0.004, 1e-5
 #: Windows that are scored at once; their partial sums stay in a core's cache.
 CHUNK = 64
 UNKNOWN = "und"
+#: Score from which on a filter accepts a text.
+LEAST_SCORE = 0.3
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 
@@ -179,32 +181,52 @@ def fit(docs: DataFrame) -> Network | None:
     return train(x, np.array([languages.index(r[0]) for r in rows]), languages)
 
 
+def _predictions(net: Network | None, tables: tuple | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the language (-1: none) and score of each text."""
+    n = len(texts)
+    lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], dtype=bool)
+    if net is None or not lettered.any():
+        return np.full(n, -1), np.zeros(n)
+    windows, owner, used = cut_windows(*utf8(texts))
+    total = np.zeros((n, len(net.languages)))
+    np.add.at(total, owner, net.probabilities(windows, tables) * used[:, None])
+    mean = total / np.maximum(1, np.bincount(owner, weights=used, minlength=n))[:, None]
+    return np.where(lettered, mean.argmax(axis=1), -1), np.where(lettered, np.clip(mean.max(axis=1), 0, 1), 0.0)
+
+
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred, score, and the text's other columns left out; one row a document."""
     tables: list = []
     names = np.array([*(net.languages if net else []), UNKNOWN], dtype=object)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("text")
-        lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()], dtype=bool)
-        label = np.full(batch.num_rows, len(names) - 1)
-        score = np.zeros(batch.num_rows)
-        if net is not None and lettered.any():
-            if not tables:
-                tables.append(net.tables())
-            windows, owner, used = cut_windows(*utf8(texts))
-            probability = net.probabilities(windows, tables[0]) * used[:, None]
-            total = np.zeros((batch.num_rows, len(net.languages)))
-            np.add.at(total, owner, probability)
-            mean = total / np.maximum(1, np.bincount(owner, weights=used, minlength=batch.num_rows))[:, None]
-            label = np.where(lettered, mean.argmax(axis=1), label)
-            score = np.where(lettered, np.clip(mean.max(axis=1), 0, 1), 0.0)
+        if net is not None and not tables:
+            tables.append(net.tables())
+        label, score = _predictions(net, tables[0] if tables else None, batch.column("text"))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names[label], pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return map_pieces(chosen, each, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows, all their columns kept, whose text has a language: not ``und``, and a score of ``least`` or more."""
+    typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    net = fit(typed)
+    if net is None:
+        return docs.limit(0)
+    bounded_batches(docs.sparkSession)
+    tables: list = []
+
+    def verdict(texts: pa.Array) -> pa.Array:
+        if not tables:
+            tables.append(net.tables())
+        parts = [_predictions(net, tables[0], piece.column(0)) for piece in pieces(pa.RecordBatch.from_arrays([texts], ["text"]))]
+        return pa.array(np.concatenate([(label >= 0) & (score >= least) for label, score in parts]) if parts else [], pa.bool_())
+
+    return docs.where(F.arrow_udf(verdict, "boolean")(F.col("text").cast("string")))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))

@@ -201,3 +201,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, folder: str | None = Non
     out = sketches.select("doc_id", "n_shingles", "mark").join(labelled, "mark", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """The rows, all their columns kept, without documents whose group has a smaller doc_id; equal rows once."""
+    marks = near_duplicates(docs, percent)
+    verdicts = saved(marks.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), shared_folder(docs.sparkSession), "verdicts")
+    gone = verdicts.where("not kept").select(F.col("doc_id").alias("__gone"))
+    few = gone.count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    return left if verdicts.where("rows > 1").isEmpty() else left.dropDuplicates(["doc_id", "text"])

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rasterweave.llm import bpe, langid, licenses, lines, matroska, minhash, mixing, pii, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op8_pii": lambda s, d: pii.scan(_docs(s, d)),
         "op9_source_mixing": lambda s, d: mixing.shares(_docs(s, d)),
         "op10_line_dedup": lambda s, d: lines.digests(_docs(s, d)),
+        "pipeline": corpus_pipeline.run,
     }
 
 
