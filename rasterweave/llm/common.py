@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTF-8 bytes of text that a Python worker looks at in one piece; a longer text is a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1_000_000
 #: Rows in an Arrow batch, so that a batch of long texts stays in memory.
 BATCH_ROWS = 512
 

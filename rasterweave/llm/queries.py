@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rasterweave.llm import bpe, langid, licenses, lines, matroska, minhash, mixing, pii, topk
+from rasterweave.llm import bpe, langid, licenses, lines, matroska, minhash, mixing, pii, spandedup, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op3_bpe_codec": lambda s, d: bpe.digests(_docs(s, d)),
         "op4_license_scan": lambda s, d: licenses.scan(_docs(s, d)),
         "op5_matroska_media": lambda s, d: matroska.media_digests(_docs(s, d)),
+        "op6_suffix_dedup": lambda s, d: spandedup.digests(_docs(s, d)),
         "op7_exact_top_k": lambda s, d: topk.top_k(s.read.parquet(f"{d}/embeddings.parquet"), F.col("vec_id") % 50 == 0),
         "op8_pii": lambda s, d: pii.scan(_docs(s, d)),
         "op9_source_mixing": lambda s, d: mixing.shares(_docs(s, d)),
