@@ -4,7 +4,7 @@ A byte goes if a string of 50 bytes covers it that also starts in a document wit
 
 1. Every window of 50 bytes is named by the least hash of its 24-byte strings, so equal windows bear equal
    names wherever they stand, and neighbouring windows mostly share one: a run. Names are counted over all
-   documents (48-bit hashes, packed by document and slot; names that repeat within a batch are settled
+   documents (48-bit hashes, packed by slot; names that repeat within a batch are settled
    there, so a name that stands everywhere sends one entry a batch).
 2. Runs whose name stands in two documents or more are cut out with their bytes and sent to the shard of
    their name; all other bytes can't repeat and are sent nowhere.
@@ -34,7 +34,9 @@ from rasterweave.llm.suffixes import DEPTH, same_prefix, suffix_order
 NAME_BYTES = 24
 REACH = DEPTH - NAME_BYTES + 1
 #: Text for each slot of names and each shard of runs; documents a broadcast of ids may have.
-SLOT_BYTES, SHARD_BYTES = 48 << 20, 12 << 20
+SLOT_BYTES, SHARD_BYTES = 32 << 20, 6 << 20
+#: Windows that are looked at one by one together.
+WINDOW_BLOCK = 1 << 20
 BROADCAST_IDS = 4_000_000
 _PACK = 6
 QUERY, KNOWN, SETTLED = 0, 1, 2
@@ -69,83 +71,128 @@ def window_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, owner, least[starts] >> np.uint64(16)
 
 
-def _packed(names: np.ndarray, edges: np.ndarray) -> pa.Array:
-    """Binary values of 6-byte names between edges."""
-    raw = np.ascontiguousarray(names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_PACK]).tobytes()
-    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * _PACK).astype(np.int32)), pa.py_buffer(raw)])
+def _packed(names: np.ndarray) -> bytes:
+    """Names in 6 bytes each."""
+    return np.ascontiguousarray(names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_PACK]).tobytes()
 
 
-def _unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Names and the blob of each."""
-    flat = np.frombuffer(b"".join(blobs), dtype=np.uint8).reshape(-1, _PACK)
-    wide = np.zeros((len(flat), 8), dtype=np.uint8)
-    wide[:, :_PACK] = flat
-    return wide.view("<u8").ravel(), np.repeat(np.arange(len(blobs)), [len(b) // _PACK for b in blobs])
+def _unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // _PACK, 8), dtype=np.uint8)
+    wide[:, :_PACK] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, _PACK)
+    return wide.view("<u8").ravel()
 
 
-def _grouped(slot: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by slot and owner, and the edges of the groups in it."""
-    order = np.lexsort((owner, slot))
-    s, o = slot[order], owner[order]
-    return order, np.append(np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (o[1:] != o[:-1])])) if len(s) else np.zeros(0, np.int64), len(s))
+def _press(ids: np.ndarray, tags: np.ndarray, owner: np.ndarray, names: np.ndarray) -> bytes:
+    """Documents, how many names each has, and the names; ``owner`` (into ids and tags) is in order."""
+    head = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    counts = np.diff(np.append(head, len(owner))).astype("<u4")
+    used = owner[head]
+    body = struct.pack("<II", len(used), len(names)) + ids[used].astype("<i8").tobytes() + tags[used].astype("<i8").tobytes() + counts.tobytes() + _packed(names)
+    return zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def _unpress(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, tags, owners of the names (into ids and tags), names, and the blob of each name."""
+    ids, tags, counts, names, sizes = [], [], [], [], []
+    open_ = zstandard.ZstdDecompressor()
+    for blob in blobs:
+        data = open_.decompress(blob.as_py())
+        n, m = struct.unpack_from("<II", data)
+        ids.append(np.frombuffer(data, "<i8", n, 8))
+        tags.append(np.frombuffer(data, "<i8", n, 8 + 8 * n))
+        counts.append(np.frombuffer(data, "<u4", n, 8 + 16 * n))
+        names.append(_unpacked(data[8 + 20 * n :]))
+        sizes.append(m)
+    counts = np.concatenate(counts)
+    return np.concatenate(ids), np.concatenate(tags), np.repeat(np.arange(len(counts)), counts), np.concatenate(names), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _edges(values: np.ndarray) -> np.ndarray:
+    """Where groups of equal neighbours begin, and the end."""
+    return np.append(np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64), len(values))
+
+
+def _part(ids: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
 def _name_rows(slots: int):
+    """A piece's names by slot: asked ones, those known to repeat, and by part those settled here."""
+
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         _, _, owner, names = window_runs(*utf8(batch.column("text")))
         if not len(names):
             return None
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
         order = np.lexsort((owner, names))
         names, owner = names[order], owner[order]
         once = np.concatenate([[True], (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])])
         names, owner = names[once], owner[once]
-        first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-        size = np.diff(np.append(first, len(names)))
-        several = np.repeat((np.minimum.reduceat(ids[owner], first) != np.maximum.reduceat(ids[owner], first)), size)
+        edges = _edges(names)
+        first = edges[:-1]
+        several = np.repeat(np.minimum.reduceat(ids[owner], first) != np.maximum.reduceat(ids[owner], first), np.diff(edges))
         lead = np.zeros(len(names), dtype=bool)
         lead[first] = True
         slot = (names % np.uint64(slots)).astype(np.int64)
-        made = []
-        for flag, keep, where in ((QUERY, ~several, slot), (KNOWN, several & lead, slot), (SETTLED, several, slots + owner % slots)):
-            own = owner[keep] if flag != KNOWN else np.zeros(int(keep.sum()), np.int64)
-            at, edges = _grouped(where[keep], own)
-            head = at[edges[:-1]]
-            made.append(pa.RecordBatch.from_arrays([pa.array(where[keep][head].astype(np.int32)), pa.array(np.full(len(head), flag, np.int32)), batch.column("doc_id").take(pa.array(own[head])), batch.column("tag").take(pa.array(own[head])), _packed(names[keep][at], edges)], ["slot", "flag", "doc_id", "tag", "names"]))
-        return pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+        out: tuple[list, list, list] = ([], [], [])
+        for flag, keep, where in ((QUERY, ~several, slot), (KNOWN, several & lead, slot), (SETTLED, several, slots + _part(ids, slots)[owner])):
+            w, o, n = where[keep], owner[keep], names[keep]
+            by = np.lexsort((o, w))
+            w, o, n = w[by], o[by], n[by]
+            cuts = _edges(w).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                for column, value in zip(out, (int(w[a]), flag, _press(ids, tags, o[a:b], n[a:b])), strict=True):
+                    column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], ["slot", "flag", "names"])
 
     return rows
 
 
 def _survivors(slots: int):
+    """A slot's asked names that stand in two documents, by part of the document; settled ones pass."""
+
     def settle(table: pa.Table) -> pa.Table:
-        if table.column("slot")[0].as_py() >= slots:
-            return table.select(["doc_id", "tag", "names"])
-        names, row = _unpacked(table.column("names").to_pylist())
-        ids, flag = table.column("doc_id").to_numpy(), table.column("flag").to_numpy()
+        slot = table.column("slot")[0].as_py()
+        if slot >= slots:
+            return pa.table({"part": pa.array(np.full(table.num_rows, slot - slots, np.int32)), "names": table.column("names")})
+        ids, tags, owner, names, row = _unpress(table.column("names"))
+        flag = table.column("flag").to_numpy()[row]
         order = np.argsort(names, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], names[order][1:] != names[order][:-1]]))
-        doc = ids[row][order]
-        lives = (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)) | (np.maximum.reduceat(flag[row][order], first) == KNOWN)
+        edges = _edges(names[order])
+        doc = ids[owner[order]]
+        lives = (np.minimum.reduceat(doc, edges[:-1]) != np.maximum.reduceat(doc, edges[:-1])) | (np.maximum.reduceat(flag[order], edges[:-1]) == KNOWN)
         keep = np.empty(len(names), dtype=bool)
-        keep[order] = np.repeat(lives, np.diff(np.append(first, len(names))))
-        keep &= flag[row] == QUERY
-        names, row = names[keep], row[keep]
-        head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-        take = pa.array(row[head])
-        return pa.table({"doc_id": table.column("doc_id").take(take), "tag": table.column("tag").take(take), "names": _packed(names, np.append(head, len(row)))})
+        keep[order] = np.repeat(lives, np.diff(edges))
+        keep &= flag == QUERY
+        owner, names = owner[keep], names[keep]
+        part = _part(ids, slots)[owner]
+        by = np.lexsort((owner, part))
+        owner, names, part = owner[by], names[by], part[by]
+        cuts = _edges(part).tolist()
+        made = [_press(ids, tags, owner[a:b], names[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"part": pa.array(part[cuts[:-1]].astype(np.int32)), "names": pa.array(made, pa.binary())})
 
     return settle
 
 
+def _found(table: pa.Table) -> pa.Table:
+    """A part's repeating names to one row a document."""
+    ids, tags, owner, names, _ = _unpress(table.column("names"))
+    order = np.lexsort((names, tags[owner], ids[owner]))
+    i, t, names = ids[owner][order], tags[owner][order], names[order]
+    edges = np.append(np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1])])), len(i))
+    made = [_packed(names[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    return pa.table({"doc_id": pa.array(i[edges[:-1]]), "tag": pa.array(t[edges[:-1]]), "found": pa.array(made, pa.binary())})
+
+
 def _cut_runs(shards: int):
     """doc_id, tag, text, found (names that repeat) to packed runs by shard."""
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         data, offsets = utf8(batch.column("text"))
         starts, ends, owner, names = window_runs(data, offsets)
-        found = [b"".join(x) for x in batch.column("found").to_pylist()]
-        known, row = _unpacked(found)
+        found = batch.column("found").to_pylist()
+        known, row = _unpacked(b"".join(found)), np.repeat(np.arange(len(found)), [len(f) // _PACK for f in found])
         key = np.sort(known | row.astype(np.uint64) << np.uint64(48))
         mine = names | owner.astype(np.uint64) << np.uint64(48)
         at = np.minimum(np.searchsorted(key, mine), max(0, len(key) - 1))
@@ -155,7 +202,8 @@ def _cut_runs(shards: int):
             return None
         raw, ids, tags = data.tobytes(), batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
         shard = (mix(names) % np.uint64(shards)).astype(np.int64)
-        order, edges = _grouped(shard, np.zeros(len(shard), np.int64))
+        order = np.argsort(shard, kind="stable")
+        edges = _edges(shard[order])
         press = zstandard.ZstdCompressor(level=1)
         out = []
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
@@ -180,55 +228,119 @@ def _read_runs(blob: bytes) -> tuple[list[bytes], list[np.ndarray]]:
     return [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], arrays[1:]
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """A shard: doc_id, tag, spans (start, end pairs, u32) of the windows that go."""
-    distinct: dict[bytes, int] = {}
-    columns: list[list[np.ndarray]] = [[], [], [], []]
-    for blob in table.column("runs").to_pylist():
-        runs, (index, ids, tags, starts) = _read_runs(blob)
-        number = np.array([distinct.setdefault(r, len(distinct)) for r in runs], dtype=np.int64)
-        for column, values in zip(columns, (number[index], ids, tags, starts.astype(np.int64)), strict=True):
-            column.append(values)
-    run, ids, tags, starts = (np.concatenate(c) for c in columns)
-    lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
-    begin = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-    text = np.frombuffer(b"\xff".join(distinct) + b"\xff", dtype=np.uint8) + np.uint8(1)  # 255 is in no UTF-8; it becomes 0
-    del distinct
-    smallest = np.full(len(lengths), np.iinfo(np.int64).max)
-    np.minimum.at(smallest, run, ids)
-    windows = lengths - DEPTH + 1
-    is_window = np.zeros(len(text) + 1, dtype=np.int32)
-    np.add.at(is_window, begin, 1)
-    np.add.at(is_window, begin + windows, -1)
-    is_window = np.cumsum(is_window[:-1]) > 0
+def _judge(parts: int):
+    """A shard's runs to the windows that go: part of the document, packed (doc_id, tag, start, end)."""
+
+    def judge(table: pa.Table) -> pa.Table:
+        distinct: dict[bytes, int] = {}
+        columns: list[list[np.ndarray]] = [[], [], [], []]
+        for blob in table.column("runs"):
+            runs, (index, ids, tags, starts) = _read_runs(blob.as_py())
+            number = np.array([distinct.setdefault(r, len(distinct)) for r in runs], dtype=np.int32)
+            for column, values in zip(columns, (number[index], ids, tags, starts), strict=True):
+                column.append(values)
+        run, ids, tags, starts = (np.concatenate(c) for c in columns)
+        del columns
+        lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
+        text = np.frombuffer(b"\xff".join(distinct) + b"\xff", dtype=np.uint8) + np.uint8(1)  # 255 is in no UTF-8; it becomes 0
+        del distinct
+        begin = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+        windows = lengths - DEPTH + 1
+        smallest = np.full(len(lengths), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, run, ids)
+        decides = _deciding_ids(text, begin, windows, smallest)
+
+        # Occurrences whose windows all go or all stay are settled by the run's extremes; others window by window.
+        least, most = _extremes(decides, begin, windows)
+        every, some = ids > most[run], (ids > least[run]) & (ids <= most[run])
+        who, first = [np.flatnonzero(every)], [starts[every].astype(np.int64)]
+        stop = [starts[every] + lengths[run[every]]]
+        mixed = np.flatnonzero(some)
+        count = windows[run[mixed]]
+        blocks = np.searchsorted(np.cumsum(count), np.arange(WINDOW_BLOCK, count.sum() + WINDOW_BLOCK, WINDOW_BLOCK))
+        for x, y in zip([0, *(blocks + 1).tolist()], [*(blocks + 1).tolist(), len(mixed)], strict=True):
+            own = mixed[x:y]
+            if len(own):
+                w, a, b = _mixed_spans(decides, begin[run[own]], windows[run[own]], ids[own])
+                who.append(own[w])
+                first.append(starts[own][w] + a)
+                stop.append(starts[own][w] + b + DEPTH - 1)
+        who, first, stop = np.concatenate(who), np.concatenate(first), np.concatenate(stop)
+        part = _part(ids[who], parts)
+        order = np.lexsort((first, tags[who], ids[who], part))
+        who, first, stop, part = who[order], first[order], stop[order], part[order]
+        edges = _edges(part)
+        press, out = zstandard.ZstdCompressor(level=1), []
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = who[x:y]
+            out.append(press.compress(b"".join(v.astype(k).tobytes() for v, k in ((ids[own], "<i8"), (tags[own], "<i8"), (first[x:y], "<u4"), (stop[x:y], "<u4")))))
+        return pa.table({"part": pa.array(part[edges[:-1]].astype(np.int32)), "spans": pa.array(out, pa.binary())})
+
+    return judge
+
+
+def _deciding_ids(text: np.ndarray, begin: np.ndarray, windows: np.ndarray, smallest: np.ndarray) -> np.ndarray:
+    """For the first byte of every window: the smallest doc_id in which its 50 bytes stand."""
+    change = np.zeros(len(text) + 1, dtype=np.int32)
+    np.add.at(change, begin, 1)
+    np.add.at(change, begin + windows, -1)
+    is_window = np.cumsum(change[:-1]) > 0
     order = suffix_order(text)
     order = order[is_window[order]]
     group = np.flatnonzero(~same_prefix(text, order))
     own = smallest[np.searchsorted(begin, order, "right") - 1]
-    decides = np.empty(len(text), dtype=np.int64)
+    decides = np.zeros(len(text), dtype=np.int64)
     decides[order] = np.repeat(np.minimum.reduceat(own, group), np.diff(np.append(group, len(order))))
-    # Windows of every occurrence, and runs among them of windows that go.
-    count = windows[run]
+    return decides
+
+
+def _extremes(decides: np.ndarray, begin: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edges = np.stack([begin, begin + windows], axis=1).ravel()
+    return np.minimum.reduceat(decides, edges)[::2], np.maximum.reduceat(decides, edges)[::2]
+
+
+def _mixed_spans(decides: np.ndarray, begin: np.ndarray, count: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Occurrence, first and last-plus-one window of the stretches of windows that go."""
     total = np.cumsum(count)
-    at = np.repeat(begin[run] - (total - count), count) + np.arange(total[-1])
+    at = np.repeat(begin - (total - count), count) + np.arange(total[-1])
     goes = np.repeat(ids, count) > decides[at]
     edge = np.zeros(len(goes), dtype=bool)
     edge[total - count] = True
     on = np.flatnonzero(goes & (edge | ~np.concatenate([[False], goes[:-1]])))
     off = np.flatnonzero(goes & np.concatenate([edge[1:] | ~goes[1:], [True]]))
     who = np.searchsorted(total, on, "right")
-    base = starts[who] - (total - count)[who]
-    a, b = base + on, base + off + DEPTH
-    by = np.lexsort((a, tags[who], ids[who]))
-    who, spans = who[by], np.stack([a[by], b[by]], axis=1).astype("<u4")
-    head = np.flatnonzero(np.concatenate([[True], (ids[who][1:] != ids[who][:-1]) | (tags[who][1:] != tags[who][:-1])])) if len(who) else np.zeros(0, np.int64)
-    edges = np.append(head, len(who))
+    base = (total - count)[who]
+    return who, on - base, off - base + 1
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """A part's packed windows to one row a document: doc_id, tag, spans (start, end pairs, u32, merged)."""
+    columns: list[list[np.ndarray]] = [[], [], [], []]
+    press = zstandard.ZstdDecompressor()
+    for blob in table.column("spans"):
+        data = press.decompress(blob.as_py())
+        n, at = len(data) // 24, 0
+        for column, kind in zip(columns, ("<i8", "<i8", "<u4", "<u4"), strict=True):
+            column.append(np.frombuffer(data, kind, n, at))
+            at += column[-1].nbytes
+    ids, tags, first, stop = (np.concatenate(c) for c in columns)
+    order = np.lexsort((first, tags, ids))
+    ids, tags, first, stop = ids[order], tags[order], first[order].astype(np.int64), stop[order].astype(np.int64)
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])
+    # Spans of one document that touch become one: ends reach over earlier documents by an offset for each.
+    shift = np.cumsum(new) << 33
+    reach = np.maximum.accumulate(stop + shift)
+    starts = np.concatenate([[True], (first + shift)[1:] > reach[:-1]])
+    head = np.flatnonzero(starts)
+    spans = np.stack([first[head], np.maximum.reduceat(stop, head)], axis=1).astype("<u4")
+    edges = np.append(np.flatnonzero(new[head]), len(head))
     blobs = [spans[x:y].tobytes() for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-    return pa.table({"doc_id": pa.array(ids[who[head]]), "tag": pa.array(tags[who[head]]), "spans": pa.array(blobs, pa.binary())})
+    docs = head[edges[:-1]]
+    return pa.table({"doc_id": pa.array(ids[docs]), "tag": pa.array(tags[docs]), "spans": pa.array(blobs, pa.binary())})
 
 
-def removed_mask(length: int, spans: list[bytes] | None) -> np.ndarray:
-    pairs = np.frombuffer(b"".join(spans or []), dtype="<u4").reshape(-1, 2).astype(np.int64)
+def removed_mask(length: int, spans: bytes | None) -> np.ndarray:
+    pairs = np.frombuffer(spans or b"", dtype="<u4").reshape(-1, 2).astype(np.int64)
     change = np.zeros(length + 1, dtype=np.int64)
     np.add.at(change, pairs[:, 0], 1)
     np.add.at(change, pairs[:, 1], -1)
@@ -255,13 +367,13 @@ def repeated_spans(docs: DataFrame, folder: str | None = None) -> tuple[DataFram
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots, shards = max(8, -(-total // SLOT_BYTES)), max(8, -(-total // SHARD_BYTES))
     whole = texts.where("doc_id is not null and text is not null")
-    names = map_pieces(whole, _name_rows(slots), "slot int, flag int, doc_id long, tag long, names binary")
-    survivors = saved(names.groupBy("slot").applyInArrow(_survivors(slots), "doc_id long, tag long, names binary"), folder, "survivors")
-    touched = saved(survivors.select("doc_id", "tag").distinct(), folder, "touched")
-    chosen = _only(texts, touched, "left_semi")
-    found = survivors.groupBy("doc_id", "tag").agg(F.collect_list("names").alias("found"))
-    runs = map_pieces(chosen.join(found, ["doc_id", "tag"]), _cut_runs(shards), "shard int, runs binary")
-    spans = saved(runs.groupBy("shard").applyInArrow(_judge, "doc_id long, tag long, spans binary"), folder, "spans")
+    names = map_pieces(whole, _name_rows(slots), "slot int, flag int, names binary")
+    repeating = names.groupBy("slot").applyInArrow(_survivors(slots), "part int, names binary")
+    survivors = saved(repeating.groupBy("part").applyInArrow(_found, "doc_id long, tag long, found binary"), folder, "survivors")
+    touched = survivors.select("doc_id", "tag")
+    runs = map_pieces(_only(texts, touched, "left_semi").join(survivors, ["doc_id", "tag"]), _cut_runs(shards), "shard int, runs binary")
+    going = runs.groupBy("shard").applyInArrow(_judge(shards), "part int, spans binary")
+    spans = saved(going.groupBy("part").applyInArrow(_gather, "doc_id long, tag long, spans binary"), folder, "spans")
     return texts, touched, spans
 
 
@@ -273,9 +385,8 @@ def _only(texts: DataFrame, touched: DataFrame, how: str) -> DataFrame:
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts, _, spans = repeated_spans(docs)
-    losing = saved(spans.select("doc_id", "tag").distinct(), shared_folder(docs.sparkSession), "losing")
-    gathered = spans.groupBy("doc_id", "tag").agg(F.collect_list("spans").alias("spans"))
-    changed = _only(texts, losing, "left_semi").join(gathered, ["doc_id", "tag"]).select("doc_id", "text", "spans")
-    same = _only(texts, losing, "left_anti").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans"))
+    losing = spans.select("doc_id", "tag")
+    changed = _only(texts, losing, "left_semi").join(spans, ["doc_id", "tag"]).select("doc_id", "text", "spans")
+    same = _only(texts, losing, "left_anti").select("doc_id", "text", F.lit(None).cast("binary").alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return map_pieces(changed, _result, schema).unionByName(map_pieces(same, _result, schema))

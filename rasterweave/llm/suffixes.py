@@ -97,14 +97,16 @@ def suffix_order(text: np.ndarray, memory: int = MEMORY) -> np.ndarray:
     words = _words(padded)
     # S-type: smaller than the next suffix. Within a run of equal bytes the type is that of the run's end.
     differs = np.flatnonzero(np.append(text[:-1] != text[1:], True))
-    run_end = differs[np.searchsorted(differs, np.arange(n))]
-    following = np.append(text, 0)[run_end + 1]
-    is_s = (text < following) & (run_end < n - 1)
+    run_end = np.repeat(differs, np.diff(np.concatenate([[-1], differs])))
+    is_s = (text < np.append(text, np.uint8(0))[run_end + 1]) & (run_end < n - 1)
+    is_l = ~is_s
+    del run_end, differs
+    kind = np.int32 if n < 2**31 else np.int64  # of positions in memory
     is_lms = np.zeros(n, dtype=bool)
     is_lms[1:] = is_s[1:] & ~is_s[:-1]
 
     seeds = Runs(memory)
-    places = np.flatnonzero(is_lms)
+    places = np.flatnonzero(is_lms).astype(kind)
     seeds.push(text[places], places)
     seeds_sorted = Runs(memory)
     for c in range(256):
@@ -114,15 +116,15 @@ def suffix_order(text: np.ndarray, memory: int = MEMORY) -> np.ndarray:
             seeds_sorted.push(np.full(len(run), c, dtype=np.uint8), run)
 
     rising, l_done = Runs(memory), Runs(memory)
-    end = np.array([n - 1])  # the last suffix is followed by the end of the text, the least of all
+    end = np.array([n - 1], dtype=kind)  # the last suffix is followed by the end of the text, the least of all
     if not is_s[n - 1]:
         rising.push(text[end], end)
     for c in range(256):
         batch = rising.pull(c)
         while len(batch):
             l_done.push(np.full(len(batch), c, dtype=np.uint8), batch)
-            batch = _induce(batch, text, ~is_s, c, rising)
-        _induce(seeds_sorted.pull(c), text, ~is_s, c, rising)
+            batch = _induce(batch, text, is_l, c, rising)
+        _induce(seeds_sorted.pull(c), text, is_l, c, rising)
 
     falling, out = Runs(memory), []
     for c in range(255, -1, -1):
