@@ -38,6 +38,8 @@ SLOT_BYTES, SHARD_BYTES = 32 << 20, 6 << 20
 #: Windows that are looked at one by one together.
 WINDOW_BLOCK = 1 << 20
 BROADCAST_IDS = 4_000_000
+#: Merged spans of documents are broadcast up to this many rows (some tens of bytes each); beyond it both sides are shuffled.
+BROADCAST_SPANS = 1_000_000
 _PACK = 6
 QUERY, KNOWN, SETTLED = 0, 1, 2
 
@@ -358,8 +360,8 @@ def _result(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Texts, ids of those that may lose bytes, and doc_id, tag, spans of those that do."""
+def repeated_spans(docs: DataFrame, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Texts (doc_id, tag, text), and doc_id, tag, spans of those that lose bytes."""
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
     text = F.col("text").cast("string")
@@ -374,7 +376,7 @@ def repeated_spans(docs: DataFrame, folder: str | None = None) -> tuple[DataFram
     runs = map_pieces(_only(texts, touched, "left_semi").join(survivors, ["doc_id", "tag"]), _cut_runs(shards), "shard int, runs binary")
     going = runs.groupBy("shard").applyInArrow(_judge(shards), "part int, spans binary")
     spans = saved(going.groupBy("part").applyInArrow(_gather, "doc_id long, tag long, spans binary"), folder, "spans")
-    return texts, touched, spans
+    return texts, spans
 
 
 def _only(texts: DataFrame, touched: DataFrame, how: str) -> DataFrame:
@@ -384,9 +386,7 @@ def _only(texts: DataFrame, touched: DataFrame, how: str) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    texts, _, spans = repeated_spans(docs)
-    losing = spans.select("doc_id", "tag")
-    changed = _only(texts, losing, "left_semi").join(spans, ["doc_id", "tag"]).select("doc_id", "text", "spans")
-    same = _only(texts, losing, "left_anti").select("doc_id", "text", F.lit(None).cast("binary").alias("spans"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return map_pieces(changed, _result, schema).unionByName(map_pieces(same, _result, schema))
+    texts, spans = repeated_spans(docs)
+    few = spans.count() <= BROADCAST_SPANS
+    joined = texts.join(F.broadcast(spans) if few else spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
+    return map_pieces(joined, _result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
