@@ -1,4 +1,4 @@
-"""24-bit BMP files: codec, batch scan, a data source that reads row bands with halos, and writers.
+"""24-bit BMP files (a file of no bytes gives no row): codec, batch scan, a data source that reads row bands with halos, and writers.
 
 The scan checks what a decoder needs (magic, bit depth, compression, length) and honours the pixel
 offset and the sign of the height.  ``mode``: PERMISSIVE keeps a faulty file with ``error`` set,

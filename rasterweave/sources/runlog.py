@@ -45,14 +45,14 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
 
 def append_timings(timings: DataFrame, path: str) -> None:
     """One text line a run, six decimals, in the scan's format."""
-    line = F.concat_ws(" ", *[F.format_number(c, "0.000000") if kind == "double" else F.col(c).cast("string") for c, kind in TIMINGS])
+    line = F.concat_ws(" ", *[F.format_string("%.6f", F.col(c)) if kind == "double" else F.col(c).cast("string") for c, kind in TIMINGS])
     timings.select(line.alias("value")).write.mode("append").text(path)
 
 
 def append_queue_timings(timings: DataFrame, path: str) -> None:
-    timings.select(F.concat_ws(" ", "COMPUTE_MODE", "LOG_TAG", F.format_number("TIME", "0.000000")).alias("value")).write.mode("append").text(path)
+    timings.select(F.concat_ws(" ", "COMPUTE_MODE", "LOG_TAG", F.format_string("%.6f", F.col("TIME"))).alias("value")).write.mode("append").text(path)
 
 
 def append_summary(summary: DataFrame, path: str) -> None:
-    rounded = summary.select("MIX", "COMPUTE_MODE", "LOG_TAG", *[F.format_number(c, "0.000000").alias(c) for c in ("mean", "std")])
+    rounded = summary.select("MIX", "COMPUTE_MODE", "LOG_TAG", *[F.format_string("%.6f", F.col(c)).alias(c) for c in ("mean", "std")])
     rounded.write.mode("append").csv(path, sep="\t", header=True)
