@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterweave.llm.common import map_pieces, mix, saved, shared_folder, utf8
+from rasterweave.llm.common import by_key, map_pieces, mix, saved, shared_folder, utf8
 from rasterweave.llm.suffixes import DEPTH, same_prefix, suffix_order
 
 NAME_BYTES = 24
@@ -370,12 +370,12 @@ def repeated_spans(docs: DataFrame, folder: str | None = None) -> tuple[DataFram
     slots, shards = max(8, -(-total // SLOT_BYTES)), max(8, -(-total // SHARD_BYTES))
     whole = texts.where("doc_id is not null and text is not null")
     names = map_pieces(whole, _name_rows(slots), "slot int, flag int, names binary")
-    repeating = names.groupBy("slot").applyInArrow(_survivors(slots), "part int, names binary")
-    survivors = saved(repeating.groupBy("part").applyInArrow(_found, "doc_id long, tag long, found binary"), folder, "survivors")
+    repeating = by_key(names, "slot", _survivors(slots), "part int, names binary")
+    survivors = saved(by_key(repeating, "part", _found, "doc_id long, tag long, found binary"), folder, "survivors")
     touched = survivors.select("doc_id", "tag")
     runs = map_pieces(_only(texts, touched, "left_semi").join(survivors, ["doc_id", "tag"]), _cut_runs(shards), "shard int, runs binary")
-    going = runs.groupBy("shard").applyInArrow(_judge(shards), "part int, spans binary")
-    spans = saved(going.groupBy("part").applyInArrow(_gather, "doc_id long, tag long, spans binary"), folder, "spans")
+    going = by_key(runs, "shard", _judge(shards), "part int, spans binary")
+    spans = saved(by_key(going, "part", _gather, "doc_id long, tag long, spans binary"), folder, "spans")
     return texts, spans
 
 
