@@ -79,14 +79,15 @@ def cut_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     """All windows of all texts, padded; the text of each, and how many of its bytes are text."""
     lengths = np.diff(offsets)
     n = -(-lengths // WINDOW)
+    first = np.concatenate([[0], np.cumsum(n)])
+    flat = np.full(int(first[-1]) * WINDOW, PAD, dtype=np.uint8)
+    folded = _FOLD[data]
+    for at, a, b in zip((first[:-1] * WINDOW).tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        flat[at : at + b - a] = folded[a:b]
     owner = np.repeat(np.arange(len(lengths)), n)
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start = offsets[:-1][owner] + within * WINDOW
-    used = np.minimum(WINDOW, offsets[1:][owner] - start)
-    at = start[:, None] + np.arange(WINDOW)
-    folded = np.append(_FOLD[data], np.uint8(PAD))
-    windows = folded[np.minimum(at, len(data))]
-    windows[np.arange(WINDOW)[None, :] >= used[:, None]] = PAD
+    within = np.arange(len(owner)) - first[owner]
+    used = np.minimum(WINDOW, lengths[owner] - within * WINDOW)
+    windows = flat.reshape(-1, WINDOW)
     return windows, owner, used
 
 
