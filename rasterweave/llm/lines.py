@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterweave.llm.common import map_pieces, saved, shared_folder, utf8
+from rasterweave.llm.common import bounded_batches, map_pieces, saved, shared_folder, utf8
 from rasterweave.llm.editdistance import within
 from rasterweave.llm.words import Spans
 
@@ -184,8 +184,8 @@ def kept_text(text: str | None, drop: list[int] | None) -> str | None:
     return "\n".join([x for k, x in enumerate(text.split("\n")) if k not in gone])
 
 
-def _cut(batch: pa.RecordBatch) -> pa.Array:
-    return pa.array([kept_text(t, d) for t, d in zip(batch.column("text").to_pylist(), batch.column("drop").to_pylist(), strict=True)], pa.string())
+def _cut(texts: pa.Array, drops: pa.Array) -> pa.Array:
+    return pa.array([kept_text(t.as_py(), d.as_py()) for t, d in zip(texts, drops, strict=True)], pa.string())
 
 
 def _with_drops(docs: DataFrame, drops: DataFrame) -> DataFrame:
@@ -200,9 +200,9 @@ def deduplicated(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """
     drops = removals(docs, folder).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
     joined = _with_drops(docs, drops)
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, k: ~F.array_contains("__drop", k)), "\n")
-    text = F.when(F.col("text").isNull() | F.col("__drop").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumn("text", text)
+    bounded_batches(docs.sparkSession)
+    kept = F.arrow_udf(_cut, "string")(F.col("text").cast("string"), "__drop")  # linear in the lines, which a filter of arrays is not
+    out = joined.withColumn("text", kept.cast(docs.schema["text"].dataType))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__drop").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -216,7 +216,7 @@ def digests(docs: DataFrame) -> DataFrame:
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, lists = batch.column("text").to_pylist(), [d or [] for d in batch.column("drop").to_pylist()]
         counts = [0 if t is None else t.count("\n") + 1 for t in texts]
-        shas = [hashlib.sha256((t or "").encode()).hexdigest() for t in _cut(batch).to_pylist()]
+        shas = [hashlib.sha256((t or "").encode()).hexdigest() for t in _cut(batch.column("text"), batch.column("drop")).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array([len(d) for d in lists], pa.int64()), pa.array([",".join(map(str, d)) for d in lists]), pa.array(shas)], ["doc_id", "n_lines", "n_removed", "removed", "kept_sha256"])
 
     return map_pieces(_with_drops(chosen, drops).select("doc_id", "text", "drop"), each, "doc_id long, n_lines long, n_removed long, removed string, kept_sha256 string")
