@@ -177,8 +177,7 @@ def _mean_std(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ci95(spark: SparkSession, d: str) -> DataFrame:
-    few = _log(spark, d).where("user_id % 50 = 0")
-    return _rounded(loganalytics.ci95_by(few, ["tag", "user_id"], "time"), ["mean", "ci95"])
+    return _rounded(loganalytics.ci95_by(_log(spark, d), ["tag", "user_id"], "time"), ["mean", "ci95"])
 
 
 def _ci95_sql() -> str:
