@@ -1,17 +1,19 @@
 """Line deduplication by a segment-partition edit join.
 
 A line's form is the line without white space at its ends, A-Z in lower case, as bytes. Lines with forms
-of MIN_BYTES or more are compared; shorter ones always stay. A line goes if an earlier line, by (doc_id,
-line number), has a form within BOUND edits: the first of any set of close lines stays.
+of ``least`` bytes or more are compared; shorter ones always stay. The registered query and the pipeline
+compare every line that is not empty (``least`` 1); without it MIN_BYTES holds. A line goes if an earlier
+line, by (doc_id, line number), has a form within BOUND edits: the first of any set of close lines stays.
 
 Forms are met once each, by hash, with the place where they stand first. A form of length L is cut into
 BOUND + 1 segments; any form within BOUND edits holds one of them at a place that the length difference
 bounds. Keys are hashes of (length, segment number, bytes): every form indexes its segments and probes with
 those substrings of its own that can match an indexed form of its length or up to BOUND less. Pairs that
 meet must also agree in byte parities (an edit changes two at most); those that do are verified on the
-bytes by banded bit-parallel edit distance.
+bytes by banded bit-parallel edit distance. Forms too short for BOUND + 1 segments meet others at hubs: keys
+that two forms share, from opposite sides, only if they are within BOUND edits.
 
-Inputs: a null text has no line and stays null; an empty text is one short line; rows that repeat a doc_id
+Inputs: a null text has no line and stays null; an empty line always stays; rows that repeat a doc_id
 are ordered as one document with its lines side by side, so equal rows do not empty each other; a row with
 a null doc_id is left as it is; extra columns are kept by :func:`deduplicated`, clashing names included.
 """
@@ -19,13 +21,15 @@ a null doc_id is left as it is; extra columns are kept by :func:`deduplicated`,
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterweave.llm.common import map_pieces, saved, shared_folder, utf8
+from rasterweave.llm.common import bounded_batches, map_pieces, saved, shared_folder, utf8
 from rasterweave.llm.editdistance import within
 from rasterweave.llm.words import Spans
 
@@ -34,6 +38,8 @@ SEGMENTS = BOUND + 1
 #: Document ids are broadcast to pick texts up to this many (8 bytes each); beyond it both sides are shuffled.
 BROADCAST_IDS = 4_000_000
 PARITY_BITS = 24
+#: Forms shorter than SEGMENTS can be close to forms of up to this many bytes.
+TINY = SEGMENTS - 1 + BOUND
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -86,9 +92,9 @@ def probes() -> list[tuple[int, int, int]]:
 PROBES = probes()
 
 
-def _line_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Spans]:
+def _line_hashes(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, Spans]:
     starts, ends, owner, number = line_spans(data, offsets)
-    keep = ends - starts >= MIN_BYTES
+    keep = ends - starts >= least
     spans = Spans(data)
     return starts[keep], ends[keep], owner[keep], number[keep], spans.hashes(starts[keep], ends[keep]), spans
 
@@ -100,34 +106,71 @@ def _parities(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return running[ends] ^ running[starts]
 
 
-def _forms(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """doc_id, line, form, keys: the lines of a piece; keys hold 40 bits of hash and 24 of parity."""
+def _tiny(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Length and bytes of forms of up to TINY bytes as one number; null for longer ones."""
+    length = ends - starts
+    packed = length.copy()
+    for k in range(TINY):
+        packed = packed << 8 | (_LOWER[data[np.minimum(starts + k, len(data) - 1)]] * (k < length) if len(data) else 0)
+    return pa.array(packed, mask=length > TINY)
+
+
+def hubs(form: bytes) -> set[tuple[int, int]]:
+    """(side, key) of a form of up to TINY bytes: it is within two edits of a form shorter than SEGMENTS exactly
+    if one of them has a key on side 0 and the other has it on side 1."""
+    n, out = len(form), set()
+    if n <= 2:  # all of these are close to each other
+        out |= {(0, 0), (1, 0)}
+    if n == 1:  # close to the forms of three bytes that hold it
+        out.add((0, 1 << 16 | form[0]))
+    if n == 2:  # close to those of three bytes that hold a byte of it at a fitting place, of four that hold both in order
+        out |= {(0, 2 << 16 | form[0]), (0, 3 << 16 | form[1]), (0, 4 << 16 | form[0] << 8 | form[1])}
+    if n == 3:
+        out |= {(1, 1 << 16 | x) for x in form} | {(1, 2 << 16 | x) for x in form[:2]} | {(1, 3 << 16 | x) for x in form[1:]}
+    if n == 4:
+        out |= {(1, 4 << 16 | x << 8 | y) for k, x in enumerate(form) for y in form[k + 1 :]}
+    return out
+
+
+def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        made = []
+        for k, packed in enumerate(batch.column("tiny").to_pylist()):
+            made += [(k, side, key) for side, key in hubs((packed & (1 << 8 * TINY) - 1).to_bytes(TINY)[: packed >> 8 * TINY])]
+        rows = batch.take(pa.array([k for k, _, _ in made], pa.int64()))
+        yield pa.RecordBatch.from_arrays([rows.column("form"), rows.column("doc_id"), rows.column("line"), pa.array([s for _, s, _ in made], pa.int32()), pa.array([key for _, _, key in made], pa.int32())], ["form", "doc_id", "line", "side", "key"])
+
+
+def _forms(batch: pa.RecordBatch, least: int) -> pa.RecordBatch:
+    """doc_id, line, form, keys, tiny: the lines of a piece; keys hold 40 bits of hash and 24 of parity, null where a segment would be empty."""
     data, offsets = utf8(batch.column("text"))
-    starts, ends, owner, number, hashes, spans = _line_hashes(data, offsets)
+    starts, ends, owner, number, hashes, spans = _line_hashes(data, offsets, least)
     length = ends - starts
     parity = _parities(data, starts, ends).astype(np.uint64)
-    keys = np.empty((len(starts), len(PROBES)), dtype=np.uint64)
+    keys = np.zeros((len(starts), len(PROBES)), dtype=np.uint64)
+    none = np.zeros(keys.shape, dtype=bool)
     with np.errstate(over="ignore"):
         for k, (less, i, shift) in enumerate(PROBES):
-            at, size = segment(length - less, i)
+            none[:, k] = length - less < SEGMENTS
+            at, size = segment(np.maximum(length - less, 0), i)
             begin = starts + np.clip(at + shift, 0, length - size)
             raw = spans.hashes(begin, begin + size) + (length - less).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i) * np.uint64(0xD1342543DE82EF95)
             raw = (raw ^ raw >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
             keys[:, k] = raw >> np.uint64(64 - 40) << np.uint64(24) | parity
-    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * len(PROBES)), pa.array(keys.reshape(-1).view(np.int64)))
+    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(starts) + 1, dtype=np.int32) * len(PROBES)), pa.array(keys.reshape(-1).view(np.int64), mask=none.reshape(-1)))
     ids = batch.column("doc_id").take(pa.array(owner))
-    return pa.RecordBatch.from_arrays([ids, pa.array(number.astype(np.int32)), pa.array(hashes.view(np.int64)), flat], ["doc_id", "line", "form", "keys"])
+    return pa.RecordBatch.from_arrays([ids, pa.array(number.astype(np.int32)), pa.array(hashes.view(np.int64)), flat, _tiny(data, starts, ends)], ["doc_id", "line", "form", "keys", "tiny"])
 
 
-def _places(batch: pa.RecordBatch) -> pa.RecordBatch:
-    _, _, owner, number, hashes, _ = _line_hashes(*utf8(batch.column("text")))
+def _places(batch: pa.RecordBatch, least: int) -> pa.RecordBatch:
+    _, _, owner, number, hashes, _ = _line_hashes(*utf8(batch.column("text")), least)
     return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner)), pa.array(number.astype(np.int32)), pa.array(hashes.view(np.int64))], ["doc_id", "line", "form"])
 
 
-def _bytes(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _bytes(batch: pa.RecordBatch, least: int) -> pa.RecordBatch:
     """form, bytes of the lines that the column ``wanted`` names."""
     data, offsets = utf8(batch.column("text"))
-    starts, ends, owner, number, hashes, _ = _line_hashes(data, offsets)
+    starts, ends, owner, number, hashes, _ = _line_hashes(data, offsets, least)
     wanted = [set(w) for w in batch.column("wanted").to_pylist()]
     keep = np.array([int(n) in wanted[o] for o, n in zip(owner.tolist(), number.tolist(), strict=True)], dtype=bool)
     raw = _LOWER[data].tobytes()
@@ -141,11 +184,11 @@ def _verified(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], ["a", "b"])
 
 
-def close_forms(forms: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
-    """a, b: hashes of different forms within BOUND edits."""
+def close_forms(forms: DataFrame, texts: DataFrame, folder: str, least: int) -> DataFrame:
+    """a, b: hashes of different forms within BOUND edits, both of SEGMENTS bytes or more."""
     parity = lambda c: F.col(c).bitwiseAND((1 << PARITY_BITS) - 1)
-    index = forms.select(F.col("form").alias("a"), F.explode(F.slice("keys", 1, SEGMENTS)).alias("k")).select("a", F.col("k").alias("ka"))
-    probe = forms.select(F.col("form").alias("b"), F.posexplode("keys").alias("p", "kb")).select("b", "kb", (F.col("p") < SEGMENTS).alias("own"))
+    index = forms.select(F.col("form").alias("a"), F.explode(F.slice("keys", 1, SEGMENTS)).alias("k")).where("k is not null").select("a", F.col("k").alias("ka"))
+    probe = forms.select(F.col("form").alias("b"), F.posexplode("keys").alias("p", "kb")).where("kb is not null").select("b", "kb", (F.col("p") < SEGMENTS).alias("own"))
     same = F.shiftrightunsigned("ka", PARITY_BITS) == F.shiftrightunsigned("kb", PARITY_BITS)
     alike = F.bit_count(parity("ka").bitwiseXOR(parity("kb"))) <= 2 * BOUND
     met = index.join(probe, same & (F.col("a") != F.col("b")) & (~F.col("own") | (F.col("a") < F.col("b"))) & alike)
@@ -155,23 +198,35 @@ def close_forms(forms: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     stand = saved(stand, folder, "wanted")
     few = stand.count() <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(stand) if few else stand, "doc_id")
-    bodies = map_pieces(chosen, _bytes, "form long, body binary").groupBy("form").agg(F.min("body").alias("body"))
+    bodies = map_pieces(chosen, partial(_bytes, least=least), "form long, body binary").groupBy("form").agg(F.min("body").alias("body"))
     left, right = bodies.select(F.col("form").alias("a"), F.col("body").alias("left")), bodies.select(F.col("form").alias("b"), F.col("body").alias("right"))
     return map_pieces(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), _verified, "a long, b long", "left")
 
 
-def removals(docs: DataFrame, folder: str | None = None) -> DataFrame:
+def near_tiny(forms: DataFrame) -> DataFrame:
+    """form, first: the first place of forms at the other side of a hub. The hubs are below 66 000 a side, so their table is broadcast."""
+    bounded_batches(forms.sparkSession)
+    at = forms.where("tiny is not null").select("form", "doc_id", "line", "tiny").mapInArrow(_hubs, "form long, doc_id long, line int, side int, key int")
+    least = at.groupBy("key", (1 - F.col("side")).alias("side")).agg(F.min(F.struct("doc_id", "line")).alias("first"))
+    return at.select("form", "side", "key").join(F.broadcast(least), ["side", "key"]).groupBy("form").agg(F.min("first").alias("first"))
+
+
+def removals(docs: DataFrame, folder: str | None = None, least: int = MIN_BYTES) -> DataFrame:
     """doc_id, drop (numbers of the lines that go, from 0): documents that lose a line."""
     folder = folder or shared_folder(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    lines = map_pieces(texts, _forms, "doc_id long, line int, form long, keys array<long>")
-    forms = saved(lines.groupBy("form").agg(F.min(F.struct("doc_id", "line", "keys")).alias("s")).select("form", "s.*"), folder, "forms")
-    close = saved(close_forms(forms, texts, folder), folder, "close")
+    least = max(1, least)
+    lines = map_pieces(texts, partial(_forms, least=least), "doc_id long, line int, form long, keys array<long>, tiny long")
+    forms = saved(lines.groupBy("form").agg(F.min(F.struct("doc_id", "line", "keys", "tiny")).alias("s")).select("form", "s.*"), folder, "forms")
+    close = saved(close_forms(forms, texts, folder, least), folder, "close")
     place = F.struct("doc_id", "line").alias("first")
     both = close.union(close.select("b", "a")).toDF("form", "other")
-    near = both.join(forms.select(F.col("form").alias("other"), place), "other").groupBy("form").agg(F.min("first").alias("near"))
+    met = both.join(forms.select(F.col("form").alias("other"), place), "other").select("form", "first")
+    if least < SEGMENTS:
+        met = met.union(near_tiny(forms))
+    near = met.groupBy("form").agg(F.min("first").alias("near"))
     firsts = forms.select("form", place).join(near, "form", "left").select("form", F.least("first", F.coalesce("near", "first")).alias("first"))
-    every = map_pieces(texts, _places, "doc_id long, line int, form long")
+    every = map_pieces(texts, partial(_places, least=least), "doc_id long, line int, form long")
     gone = every.join(firsts, "form").where(F.col("first") < F.struct("doc_id", "line"))
     return saved(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("drop")), folder, "drop")
 
@@ -193,12 +248,12 @@ def _with_drops(docs: DataFrame, drops: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(drops) if few else drops, docs["doc_id"].cast("long") == drops["__id"], "left").drop("__id")
 
 
-def deduplicated(docs: DataFrame, folder: str | None = None) -> DataFrame:
+def deduplicated(docs: DataFrame, folder: str | None = None, least: int = MIN_BYTES) -> DataFrame:
     """The documents with the lines that stay as their text; a document may end up empty but is not dropped.
 
     A column ``n_chars`` is set to the new length.
     """
-    drops = removals(docs, folder).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
+    drops = removals(docs, folder, least).select(F.col("doc_id").alias("__id"), F.col("drop").alias("__drop"))
     joined = _with_drops(docs, drops)
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, k: ~F.array_contains("__drop", k)), "\n")
     text = F.when(F.col("text").isNull() | F.col("__drop").isNull(), F.col("text")).otherwise(kept)
@@ -208,10 +263,10 @@ def deduplicated(docs: DataFrame, folder: str | None = None) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers), kept_sha256: what deduplication does to each document."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    drops = removals(chosen).select(F.col("doc_id").alias("__id"), "drop")
+    drops = removals(chosen, least=least).select(F.col("doc_id").alias("__id"), "drop")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, lists = batch.column("text").to_pylist(), [d or [] for d in batch.column("drop").to_pylist()]

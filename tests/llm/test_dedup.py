@@ -1,10 +1,13 @@
 import hashlib
+import itertools
+import random
 import re
 
 import numpy as np
 import pytest
 
-from rasterweave.llm import lines, minhash, spandedup
+import corpus_pipeline
+from rasterweave.llm import lines, minhash, queries, spandedup
 from rasterweave.llm.components import components
 from rasterweave.llm.editdistance import _plain, within
 from rasterweave.llm.suffixes import suffix_order
@@ -121,6 +124,50 @@ def test_lines_on_odd_rows(odd):
     assert got == want
 
 
+def close_lines(rows):
+    """Lines that go if every line that is not empty is compared."""
+    places = []
+    for i, text in sorted((r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None):
+        for k, line in enumerate(text.split("\n")):
+            form = line.strip(" \t\n\x0b\f\r").translate({c: c + 32 for c in range(65, 91)}).encode()
+            if form:
+                places.append((i, k, form))
+    return {(i, k) for i, k, f in places if any((j, m) < (i, k) and abs(len(f) - len(g)) <= 2 and _plain(f, g) <= 2 for j, m, g in places)}
+
+
+def test_hubs_against_edit_distance():
+    forms = [bytes(f) for n in range(1, 5) for f in itertools.product(b"abcd", repeat=n)]
+    keys = {f: lines.hubs(f) for f in forms}
+    for f in forms:
+        for g in forms:
+            if min(len(f), len(g)) < lines.SEGMENTS and f != g:
+                assert any((1 - side, key) in keys[g] for side, key in keys[f]) == (_plain(f, g) <= 2), (f, g)
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_short_lines_against_all_pairs(spark, odd, order):
+    """Forms of every length from one byte on, short ones first or last."""
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(n)) for n in (*range(1, 14), *range(1, 60, 2)) for _ in range(5)]
+    texts += [t[: len(t) // 2] + "#" + t[len(t) // 2 + 1 :] for t in texts[30::2]] + [f"  {t.upper()} \n\n{t}x" for t in texts[40:60]]
+    rows = [(order * k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = close_lines(rows)
+    got = {(r["doc_id"], int(k)) for r in lines.digests(df, least=1).collect() for k in r["removed"].split(",") if k}
+    assert got == want and len(want) < len(texts)
+    got = {(r["doc_id"], int(k)) for r in lines.digests(odd, least=1).collect() for k in r["removed"].split(",") if k}
+    assert got == close_lines(odd_rows())
+
+
+def test_registered_query_and_stage_take_short_lines(spark, tmp_path):
+    rows = [(1, "short\nThe quick brown fox jumps over the lazy dog tonight."), (2, "quite another\n\nShort ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    removed = {r["doc_id"]: r["removed"] for r in queries.queries()["op10_line_dedup"](spark, str(tmp_path)).collect()}
+    assert removed == {1: "", 2: "2"}
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, "").collect()} == {1: rows[0][1], 2: "quite another\n"}
+
+
 @pytest.mark.parametrize("memory", [100, 1 << 20])
 def test_suffix_order(memory):
     rng = np.random.default_rng(2)
