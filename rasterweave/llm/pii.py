@@ -42,7 +42,7 @@ _DIGIT = re.compile(r"[0-9]")
 
 # Generators: kind and pattern; the group, if there is one, is the span.
 _NUMBER = re.compile(r"(?<![0-9A-Za-z])[0-9(](?:[ ./()-]{0,2}[0-9]){6,24}(?![0-9A-Za-z])")
-_ASSIGNED = re.compile(r"[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{8,128})")
+_ASSIGNED = re.compile(r"[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{8,})")
 _SPOKEN = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[\[(]?\b(?:at|AT)\b[\])]?\s?[A-Za-z0-9-]{1,63}\s?[\[(]?\b(?:dot|DOT)\b[\])]?\s?[A-Za-z]{2,24}\b")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _COLONS = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
@@ -192,7 +192,7 @@ def _private(rng: random.Random) -> tuple[str, str, str]:
     if kind == "id":
         return f"{_digits(rng, 3)}-{_digits(rng, 2)}-{_digits(rng, 4)}", f"{rng.choice(CUES['id'])} ", " "
     if kind == "secret":
-        n = rng.choice((20, 32, 40, 64))
+        n = rng.choice((20, 32, 40, 64, 180, 400))
         return "".join(rng.choice("0123456789abcdef" if rng.random() < 0.7 else string.ascii_letters + string.digits) for _ in range(n)), rng.choice((f'{rng.choice(CUES["secret"])} = "', f"{rng.choice(CUES['secret'])}: ", f"{rng.choice(CUES['secret'])}=")), '" '
     if kind == "email":
         return f"{_word(rng)} {rng.choice(('at', '[at]', '(at)'))} {_word(rng)} {rng.choice(('dot', '[dot]'))} {rng.choice(('com', 'org', 'net', 'de'))}", f"{cue} ", " "
@@ -211,6 +211,7 @@ def _harmless(rng: random.Random) -> tuple[str, str, str]:
         lambda: (" ".join(str(rng.randint(0, 99)) for _ in range(rng.randint(5, 9))), f"{_word(rng)} ", " "),
         lambda: ("".join(_word(rng) for _ in range(4)), f"{_word(rng)}: ", " "),
         lambda: (f"//{_word(rng)}.{_word(rng)}.org/{_word(rng)}", "https:", " "),
+        lambda: (f"//{_word(rng)}.org/" + rng.choice("/-_").join(_word(rng) for _ in range(rng.randint(20, 60))), "https:", " "),
         lambda: ("".join(rng.choice("0123456789abcdef") for _ in range(40)), f"{rng.choice(('sha', 'commit'))}: ", " "),
         lambda: (f"{rng.randint(10, 23)}:{rng.randint(10, 59)}:{rng.randint(10, 59)}", "time ", " "),
         lambda: (f"{_word(rng)} at {_word(rng)} dot {_word(rng)}{_word(rng)}", "the polka ", " "),

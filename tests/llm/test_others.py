@@ -162,6 +162,16 @@ def test_pii_base_and_added(odd, nothing):
     assert pii.scan(odd).count() == len(odd_rows()) and pii.scan(nothing).count() == 0
 
 
+@pytest.mark.parametrize("n", [20, 128, 129, 300, 5000])
+def test_pii_secrets_are_whole(n):
+    rng = random.Random(n)
+    secret = "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    for text in (f'token = "{secret}" and more', f"password: {secret}"):
+        at = text.index(secret)
+        assert (at, at + n, "secret") in pii.find(text)[1]
+        assert secret[-12:] not in pii.redact(text)
+
+
 def test_mixing(odd, nothing):
     rows = mixing.shares(odd).collect()
     assert len(rows) == len(odd_rows())
