@@ -1,7 +1,7 @@
 """Personal data: rules that always hold, and candidates chosen by boosted trees.
 
 Base spans follow fixed patterns (email, ip, card with its check digit, phone). High-recall generators
-propose more, overlapping spans: long numbers, obfuscated addresses, assigned secrets, bank accounts,
+propose more, overlapping spans: long numbers (groups and joins of neighbouring groups, beside base spans), obfuscated addresses, assigned secrets, bank accounts,
 colon-separated hex. Each candidate is described by its format and its context (words and characters
 around it); boosted trees, trained here on made-up texts with known answers, give a probability that is
 calibrated on texts not trained on, and a threshold for each kind is set there for the wanted precision.
@@ -39,9 +39,12 @@ _DOTTED = re.compile(r"[0-9][0-9.]*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_DIGITS = re.compile(r"[0-9](?:.*[0-9])?", re.DOTALL)
 
 # Generators: kind and pattern; the group, if there is one, is the span.
-_NUMBER = re.compile(r"(?<![0-9A-Za-z])[0-9(](?:[ ./()-]{0,2}[0-9]){6,24}(?![0-9A-Za-z])")
+_RUN = re.compile(r"[0-9(](?:[ ./()-]{0,2}[0-9])+")
+_GROUP = re.compile(r"[^ /]+")
+LEAST_DIGITS, MOST_DIGITS = 7, 25
 _ASSIGNED = re.compile(r"[=:]\s{0,3}[\"']?([A-Za-z0-9+/_.-]{8,})")
 _SPOKEN = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[\[(]?\b(?:at|AT)\b[\])]?\s?[A-Za-z0-9-]{1,63}\s?[\[(]?\b(?:dot|DOT)\b[\])]?\s?[A-Za-z]{2,24}\b")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -113,13 +116,49 @@ def _quads(run: str) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """What the generators propose; spans may overlap."""
+def _alphanumeric(c: str) -> bool:
+    return c.isascii() and c.isalnum()
+
+
+def _numbers(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    """Groups between spaces and slashes and joins of neighbouring groups, of LEAST_DIGITS to MOST_DIGITS digits."""
+    groups = []
+    for m in _GROUP.finditer(text, start, end):
+        inside = _DIGITS.search(m.group())
+        if inside is None:
+            continue
+        a, b = m.start() + inside.start(), m.start() + inside.end()
+        a -= text[a - 1] == "(" and a > m.start()
+        first = not (a and _alphanumeric(text[a - 1]))
+        last = not (b < len(text) and _alphanumeric(text[b]))
+        groups.append((a, b, sum(map(str.isdigit, text[a:b])), first, last))
+    out = []
+    for i, (a, _, _, first, _) in enumerate(groups):
+        digits = 0
+        for _, b, n, _, last in groups[i : i + MOST_DIGITS] if first else ():
+            digits += n
+            if digits > MOST_DIGITS:
+                break
+            if last and digits >= LEAST_DIGITS:
+                out.append((a, b, "card" if digits >= 13 else "phone" if digits >= 10 else "id"))
+    return out
+
+
+def candidates(text: str, base: list[tuple[int, int, str]] | tuple = ()) -> list[tuple[int, int, str]]:
+    """What the generators propose; spans may overlap. Of runs of numbers, what is left beside the base spans."""
     found = []
     if _DIGIT.search(text) is not None:
-        for m in _NUMBER.finditer(text):
-            digits = sum(c.isdigit() for c in m.group())
-            found.append((m.start(), m.end(), "card" if digits >= 13 else "phone" if digits >= 10 else "id"))
+        cuts, k = sorted((a, b) for a, b, _ in base), 0
+        for m in _RUN.finditer(text):
+            at = m.start()
+            while k < len(cuts) and cuts[k][1] <= at:
+                k += 1
+            j = k
+            while j < len(cuts) and cuts[j][0] < m.end():
+                found += _numbers(text, at, max(at, cuts[j][0]))
+                at = max(at, cuts[j][1])
+                j += 1
+            found += _numbers(text, at, max(at, m.end()))
         found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text)]
     if "=" in text or ":" in text:
         found += [(m.start(1), m.end(1), "secret") for m in _ASSIGNED.finditer(text)]
@@ -144,7 +183,7 @@ def describe(text: str, start: int, end: int, kind: str) -> list[float]:
     row += [float(luhn(digits)) if digits else -1.0, float(all(c in string.hexdigits for c in span)), float("(" in span), span.count("-"), span.count("."), span.count(" "), span.count("/"), span.count(":")]
     row += [float(digits[:1] == "0"), float(digits[:1] in ("4", "5", "3")), float(any(c.isupper() for c in span)), float(any(c.islower() for c in span))]
     row += [float(bool(set(words) & set(cues))) for cues in CUES.values()]
-    row += [float(before[-1:] in ("", " ", "\n")), float(before[-1:] in ('"', "'")), float(before[-1:] in "#/_.,-" and bool(before)), float(after[:1] in ("", " ", "\n", ".", ",")), float(after[:1] in ('"', "'")), float(bool(re.search(r"[0-9]", after[:6])))]
+    row += [float(before[-1:] in ("", " ", "\n")), float(before[-1:] in ('"', "'")), float(before[-1:] in "#/_.,-" and bool(before)), float(after[:1] in ("", " ", "\n", ".", ",")), float(after[:1] in ('"', "'")), float(bool(re.search(r"[0-9]", after[:6]))), float(bool(re.search(r"[0-9]", before[-6:])))]
     row += [float(kind == k) for k in KINDS]
     return row
 
@@ -155,7 +194,7 @@ class Model:
     thresholds: dict[str, float]
 
     def added(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        proposed = candidates(text)
+        proposed = candidates(text, base)
         if not proposed:
             return []
         probability = self.trees.probability(np.array([describe(text, *c) for c in proposed]))
@@ -224,15 +263,22 @@ def examples(count: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     rng = random.Random(seed)
     rows, answers, kinds = [], [], []
     for _ in range(count):
-        private = rng.random() < 0.5
-        value, before, after = (_private if private else _harmless)(rng)
-        text = " ".join(_word(rng) for _ in range(4)) + " " + before
-        start = len(text)
-        text += value + after + " ".join(_word(rng) for _ in range(4))
-        for a, b, kind in candidates(text):
-            if b > start and a < start + len(value):
+        text, values = " ".join(_word(rng) for _ in range(4)) + " ", []
+        for k in range(rng.choice((1, 1, 1, 1, 2, 3))):  # several stand side by side, some beside an address
+            private = rng.random() < 0.5
+            value, before, after = (_private if private else _harmless)(rng)
+            if rng.random() < 0.1:
+                before = (before if k == 0 else "") + ".".join(str(rng.randint(0, 255)) for _ in range(4)) + " "
+            elif k and value[0] in "(0123456789":
+                before = rng.choice(("", "", before))
+            text += before
+            values.append((len(text), len(text) + len(value), private))
+            text += value + after
+        text += " ".join(_word(rng) for _ in range(4))
+        for a, b, kind in candidates(text, [s for s in base_spans(text) if s[2] == "ip"]):
+            if any(b > x and a < y for x, y, _ in values):
                 rows.append(describe(text, a, b, kind))
-                answers.append(float(private and a >= start - 1 and b <= start + len(value) + 1 and b - a >= 0.8 * len(value)))
+                answers.append(float(any(private and a >= x - 1 and b <= y + 1 and b - a >= 0.8 * (y - x) for x, y, private in values)))
                 kinds.append(kind)
     return np.array(rows), np.array(answers), kinds
 

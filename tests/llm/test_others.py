@@ -162,6 +162,22 @@ def test_pii_base_and_added(odd, nothing):
     assert pii.scan(odd).count() == len(odd_rows()) and pii.scan(nothing).count() == 0
 
 
+def test_pii_numbers_side_by_side():
+    for text, private in (
+        ("192.168.1.10 555-123-4567", ["192.168.1.10", "555-123-4567"]),
+        ("call 555-123-4567 192.168.1.10 for help", ["555-123-4567", "192.168.1.10"]),
+        ("phone 555-123-4567 555-987-6543 in the morning", ["555-123-4567", "555-987-6543"]),
+        ("phone 555-123-4567 555-987-6543 555-222-8181", ["555-123-4567", "555-987-6543", "555-222-8181"]),
+        ("10.0.0.7 ssn 123-45-6789 10.0.0.8", ["10.0.0.7", "123-45-6789", "10.0.0.8"]),
+        ("call (555) 123-4567 10.1.2.3", ["(555) 123-4567", "10.1.2.3"]),
+    ):
+        base = pii.base_spans(text)
+        proposed = {text[a:b] for a, b, _ in base + pii.candidates(text, base)}
+        assert set(private) <= proposed
+        assert [text[a:b] for a, b, _ in pii.find(text)[1]] == private
+    assert len(pii.candidates("1 2/" * 20_000)) <= 40_000 * pii.MOST_DIGITS
+
+
 @pytest.mark.parametrize("n", [20, 128, 129, 300, 5000])
 def test_pii_secrets_are_whole(n):
     rng = random.Random(n)
