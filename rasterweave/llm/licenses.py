@@ -8,8 +8,10 @@ fitted on examples not trained on, so that probabilities are calibrated, and the
 there until no held-out unknown paragraph passes. A prediction counts when a template of its family agrees:
 shared word 3-grams over the smaller of the two sets reach AGREE.
 
-Paragraphs longer than UNIT words are scored in overlapping units, the best one counts; every paragraph of
-every text is scored. Inputs: a null or empty text has no licence; very long lines are cut into units, not
+Paragraphs longer than UNIT words are scored in overlapping units, and every run of words known from the
+templates is a unit of its own. A paragraph has every family that passes in any unit, except where all its
+evidence is part of a more probable statement of another family; names that follow a statement closely
+("or the MIT License") pass on their own. Every paragraph of every text is scored. Inputs: a null or empty text has no licence; very long lines are cut into units, not
 shortened; repeated rows and null doc_ids are treated like any other; extra columns are ignored; an empty
 table gives no rows.
 """
@@ -32,6 +34,8 @@ SLOTS, ORDERS = 1 << 14, 3
 UNIT, STEP = 64, 32
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 300, 1200
 AGREE, LEAST_GRAMS = 0.5, 2
+#: Words that may stand between a statement and a further name ("or, at your option, the").
+LISTED = 5
 UNKNOWN = "unknown"
 
 #: Names under which a family is cited.
@@ -138,6 +142,12 @@ class Classifier:
     temperature: float
     threshold: float
     templates: dict[str, list[np.ndarray]]
+    names: dict[bytes, str]
+
+    def __post_init__(self) -> None:
+        self.own = {f: np.unique(np.concatenate(t)) for f, t in self.templates.items()}
+        self.grams = np.unique(np.concatenate(list(self.own.values())))
+        self.sizes = sorted({len(n) // 8 for n in self.names}, reverse=True)
 
     def scores(self, slots: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Calibrated probabilities of the units ``starts`` to ``ends`` (words)."""
@@ -160,7 +170,7 @@ class Classifier:
         return best
 
     def paragraphs(self, hashes: np.ndarray, bounds: np.ndarray) -> list[tuple[int, str, float]]:
-        """(paragraph, family, probability) of those that are a licence and agree with a template."""
+        """(paragraph, family, probability) of the families that a unit names and a template agrees with."""
         slots = _slots(hashes, bounds)
         lengths = np.diff(bounds)
         n = np.where(lengths > 0, np.maximum(1, -(-(lengths - UNIT) // STEP) + 1), 0)
@@ -168,25 +178,74 @@ class Classifier:
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         starts = bounds[:-1][owner] + within * STEP
         ends = np.minimum(starts + UNIT, bounds[1:][owner])
+        more, to = self.statements(hashes, bounds)
+        starts, ends = np.append(starts, more), np.append(ends, to)
+        owner = np.append(owner, np.searchsorted(bounds, more, "right") - 1)
         if not len(starts):
             return []
         p = self.scores(slots, starts, ends)
         p[:, self.families.index(UNKNOWN)] = 0
-        found: dict[int, tuple[float, str]] = {}
+        hits = []
         for u in np.flatnonzero(p.max(axis=1) >= self.threshold).tolist():
-            family, value = self.families[int(p[u].argmax())], float(p[u].max())
-            grams = gram_set(hashes[starts[u] : ends[u]])
-            if value > found.get(int(owner[u]), (0.0, ""))[0] and self.agreement(grams, family) >= AGREE:
-                found[int(owner[u])] = (value, family)
-        return [(k, f, v) for k, (v, f) in sorted(found.items())]
+            for k in np.flatnonzero(p[u] >= self.threshold).tolist():
+                family = self.families[k]
+                if self.agreement(gram_set(hashes[starts[u] : ends[u]]), family) >= AGREE:
+                    hits.append((-float(p[u, k]), int(starts[u]), int(ends[u]), family, int(owner[u])))
+        found: dict[tuple[int, str], float] = {}
+        claimed: dict[int, str] = {}
+        for value, start, end, family, k in sorted(hits):
+            words = self.evidence(hashes, start, end, family)
+            if all(claimed.get(w, family) != family for w in words):  # a part of another family's statement
+                continue
+            for w in words:
+                claimed.setdefault(w, family)
+            found.setdefault((k, family), -value)
+            for name, at, to in self.listed(hashes, max(words) + 1, int(bounds[k + 1])):
+                score = float(self.scores(slots[at:to], np.array([0]), np.array([to - at]))[0, self.families.index(name)])
+                if score >= self.threshold:
+                    found.setdefault((k, name), score)
+        return [(k, f, v) for (k, f), v in sorted(found.items())]
+
+    def statements(self, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the runs of words whose 3-grams stand in any template."""
+        if len(hashes) < 3:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        last = np.repeat(bounds[1:], np.diff(bounds))
+        known = np.concatenate([[False], np.isin(grams_at(hashes), self.grams) & (np.arange(2, len(hashes)) < last[:-2]), [False]])
+        change = np.diff(known.astype(np.int8))
+        return np.flatnonzero(change == 1), np.flatnonzero(change == -1) + 2
+
+    def evidence(self, hashes: np.ndarray, start: int, end: int, family: str) -> list[int]:
+        """Places of the words whose 3-grams stand in a template of the family; all words if there are none."""
+        if end - start >= 3:
+            at = np.flatnonzero(np.isin(grams_at(hashes[start:end]), self.own[family])) + start
+            if len(at):
+                return sorted({w for i in at.tolist() for w in (i, i + 1, i + 2)})
+        return list(range(start, end))
+
+    def listed(self, hashes: np.ndarray, at: int, end: int) -> list[tuple[str, int, int]]:
+        """Family, start and end of the names that go on with a statement: each within LISTED words of the last."""
+        out = []
+        while True:
+            more = [(at + gap, at + gap + n) for gap in range(LISTED + 1) for n in self.sizes if at + gap + n <= end and hashes[at + gap : at + gap + n].tobytes() in self.names]
+            if not more:
+                return out
+            a, e = more[0]
+            out.append((self.names[hashes[a:e].tobytes()], a, e))
+            at = e
+
+
+def grams_at(hashes: np.ndarray) -> np.ndarray:
+    """The 3-gram that begins at each word but the last two."""
+    with np.errstate(over="ignore"):
+        return mix(hashes[:-2] * np.uint64(3) + mix(hashes[1:-1]) * np.uint64(5) + mix(mix(hashes[2:])))
 
 
 def gram_set(hashes: np.ndarray) -> np.ndarray:
     """The set of word 3-grams; of fewer words, their whole sequence."""
     if len(hashes) < 3:
         return np.unique(mix(np.cumsum(hashes, dtype=np.uint64)[-1:])) if len(hashes) else hashes
-    with np.errstate(over="ignore"):
-        return np.unique(mix(hashes[:-2] * np.uint64(3) + mix(hashes[1:-1]) * np.uint64(5) + mix(mix(hashes[2:]))))
+    return np.unique(grams_at(hashes))
 
 
 def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +303,10 @@ def fit(corpus: list[str]) -> Classifier:
     hashes, bounds = _hashed([s for _, s in sentences])
     for (f, _), a, e in zip(sentences, bounds[:-1], bounds[1:], strict=True):
         templates[f].append(gram_set(hashes[a:e]))
-    return Classifier(families, full, b, temperature, threshold, templates)
+    cited = [(f, name) for f, names in NAMES.items() for name in names]
+    hashes, bounds = _hashed([name for _, name in cited])
+    names = {hashes[a:e].tobytes(): f for (f, _), a, e in zip(cited, bounds[:-1], bounds[1:], strict=True)}
+    return Classifier(families, full, b, temperature, threshold, templates, names)
 
 
 def _loss(z: np.ndarray, y: np.ndarray) -> float:

@@ -81,6 +81,23 @@ def test_licences(spark, odd, nothing):
     assert licenses.scan(odd).count() == len(odd_rows()) and licenses.scan(nothing).count() == 0
 
 
+def test_every_licence_of_a_paragraph():
+    model = licenses.fit([f"the river {k} ran under the old bridge and on" for k in range(60)])
+    filler = "the river ran under the old bridge and on to the sea " * 9
+    texts = {
+        "Licensed under the MIT License or the Apache License 2.0": {"mit", "apache"},
+        "Licensed under the Apache License, Version 2.0 or the MIT License": {"mit", "apache"},
+        "Released under the MIT License. " + filler + "Licensed under CC BY-NC 4.0. " + filler + "This work is licensed under the Mozilla Public License 2.0.": {"mit", "cc-by-nc", "mpl"},
+        "Released under the GNU Affero General Public License, version 3": {"agpl"},
+        filler + "Released under the GNU Lesser General Public License": {"lgpl"},
+        filler: set(),
+    }
+    got = [set() for _ in texts]
+    for k, family, _ in model.paragraphs(*licenses._hashed(list(texts))):
+        got[k].add(family)
+    assert got == list(texts.values())
+
+
 @pytest.mark.parametrize("lacing", ["fixed", "xiph", "ebml"])
 @pytest.mark.parametrize("size", [0, 1, 576, 577, 40000])
 def test_matroska_round_trip(lacing, size):
