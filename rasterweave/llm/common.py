@@ -5,21 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that a Python worker looks at in one piece; a longer text is a piece of its own.
 PIECE_BYTES = 1_000_000
 #: Rows in an Arrow batch, so that a batch of long texts stays in memory.
 BATCH_ROWS = 512
+#: A table is broadcast up to this size; partitions that keys are dealt to.
+BROADCAST_BYTES, MOST_PARTITIONS = 64 << 20, 20_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rasterweave-")
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, a temporary one on a local master only."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        top = tempfile.mkdtemp(prefix="rasterweave-")
     return f"{top.rstrip('/')}/rasterweave-{uuid.uuid4().hex}"
 
 
@@ -37,7 +45,19 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Lowers the rows of an Arrow batch to BATCH_ROWS; plans are lazy, so the setting stays with the session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def small(table: DataFrame, row_bytes: int, *sized: str) -> DataFrame:
+    """Marks a saved table for broadcast if its rows, and the bytes of its columns ``sized``, stay below BROADCAST_BYTES."""
+    size = F.count("*") * row_bytes
+    for column in sized:
+        size = size + F.coalesce(F.sum(F.octet_length(column) if dict(table.dtypes)[column] in ("string", "binary") else 8 * F.size(column)), F.lit(0))
+    return F.broadcast(table) if table.agg(size).first()[0] <= BROADCAST_BYTES else table
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -87,23 +107,29 @@ def map_pieces(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatc
     return df.mapInArrow(each, schema)
 
 
-def by_key(df: DataFrame, key: str, function: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """A function of the rows of each key, without a sort in the JVM: a partition's packed rows are held, then taken key by key."""
+def _slices(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
+        for a, b in zip(edges, [*edges[1:], len(keys)], strict=True):
+            yield int(keys[a]), batch.slice(a, b - a)
+
+
+def by_key(df: DataFrame, key: str, keys: int, function: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, *order: str) -> DataFrame:
+    """A function of the rows of each of about ``keys`` keys, in ``order``; a worker sees them batch by batch and holds what the function holds."""
     bounded_batches(df.sparkSession)
+    parts = min(MOST_PARTITIONS, max(shuffle_partitions(df.sparkSession), keys))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        del held
-        keys = table.column(key).to_numpy()
-        order = np.argsort(keys, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
-            yield from function(table.take(pa.array(order[a:b]))).to_batches()
-
-    return df.repartition(key).mapInArrow(each, schema)
+        for value, rows in groupby(_slices(batches, key), lambda pair: pair[0]):
+            yield from function(value, (batch for _, batch in rows))
+
+    return df.repartition(parts, key).sortWithinPartitions(key, *order).mapInArrow(each, schema)
+
+
+def whole(function: Callable[[pa.Table], pa.Table]) -> Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For :func:`by_key`: a function of all rows of a key at once."""
+    return lambda key, batches: function(pa.Table.from_batches(list(batches))).to_batches()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

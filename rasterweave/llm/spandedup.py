@@ -8,10 +8,12 @@ A byte goes if a string of 50 bytes covers it that also starts in a document wit
    there, so a name that stands everywhere sends one entry a batch).
 2. Runs whose name stands in two documents or more are cut out with their bytes and sent to the shard of
    their name; all other bytes can't repeat and are sent nowhere.
-3. A shard's distinct runs are one text; its suffixes are ordered by induced sorting with disk-backed queues
+3. A shard's distinct runs are one text on disk; its suffixes are ordered by external induced sorting
    (:mod:`rasterweave.llm.suffixes`). Neighbours that share 50 bytes form a class; its smallest doc_id decides
-   for every occurrence of its members whether the window goes.
-4. Windows of a document are merged to spans.
+   for every member whether the window goes: a run becomes stretches of windows with one deciding doc_id.
+4. Places of runs go with them, but those of frequent runs (boilerplate) are dealt over many tasks, and the
+   shard's decisions on these runs are sent there.
+5. Spans of a document are merged.
 
 Nothing is capped. Inputs: a null text is empty; texts under 50 bytes stay; rows that repeat a doc_id never
 remove each other's bytes; a null doc_id takes no part and stays whole; extra columns are ignored.
@@ -21,6 +23,9 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import tempfile
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +33,23 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterweave.llm.common import by_key, map_pieces, mix, saved, shared_folder, utf8
-from rasterweave.llm.suffixes import DEPTH, same_prefix, suffix_order
+from rasterweave.llm.common import bounded_batches, by_key, map_pieces, mix, pieces, saved, shared_folder, small, utf8, whole
+from rasterweave.llm.suffixes import DEPTH, Scratch, sort_suffixes
 
 NAME_BYTES = 24
 REACH = DEPTH - NAME_BYTES + 1
-#: Text for each slot of names and each shard of runs; documents a broadcast of ids may have.
-SLOT_BYTES, SHARD_BYTES = 32 << 20, 6 << 20
-#: Windows that are looked at one by one together.
-WINDOW_BLOCK = 1 << 20
-BROADCAST_IDS = 4_000_000
-#: Merged spans of documents are broadcast up to this many rows (some tens of bytes each); beyond it both sides are shuffled.
-BROADCAST_SPANS = 1_000_000
+#: Text for each slot of names and each shard of runs.
+SLOT_BYTES, SHARD_BYTES = 32 << 20, 12 << 20
+#: Bytes of runs that a task collects before it hands them on; a run with more places there is frequent.
+HELD_BYTES, FREQUENT = 16 << 20, 64
+#: Text for which the places of frequent runs are dealt one way more; ways at most.
+FAN_BYTES, MOST_FAN = 1 << 30, 256
+SORTED_ROWS, DECIDED_RUNS = 1 << 18, 1 << 14
 _PACK = 6
 QUERY, KNOWN, SETTLED = 0, 1, 2
+RUNS, PLACES = 0, 1
+DECISIONS, SPANS = 0, 2
+JUDGED = "key long, kind int, runs binary, places binary"
 
 
 def window_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -187,10 +195,16 @@ def _found(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(i[edges[:-1]]), "tag": pa.array(t[edges[:-1]]), "found": pa.array(made, pa.binary())})
 
 
-def _cut_runs(shards: int):
-    """doc_id, tag, text, found (names that repeat) to packed runs by shard."""
+class _Cut:
+    """Collects the repeating runs of a task's pieces; equal ones are kept once until ``rows`` hands them out."""
+
+    def __init__(self, shards: int):
+        self.shards = shards
+        self.distinct: dict[bytes, int] = {}
+        self.held, self.shard, self.found = 0, [], []
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def add(self, batch: pa.RecordBatch) -> None:
+        """doc_id, tag, text, found (names that repeat)."""
         data, offsets = utf8(batch.column("text"))
         starts, ends, owner, names = window_runs(data, offsets)
         found = batch.column("found").to_pylist()
@@ -201,125 +215,230 @@ def _cut_runs(shards: int):
         keep = (key[at] == mine) if len(key) else np.zeros(len(mine), dtype=bool)
         starts, ends, owner, names = starts[keep], ends[keep], owner[keep], names[keep]
         if not len(starts):
-            return None
+            return
         raw, ids, tags = data.tobytes(), batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
-        shard = (mix(names) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        edges = _edges(shard[order])
-        press = zstandard.ZstdCompressor(level=1)
-        out = []
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            own = order[a:b]
-            distinct: dict[bytes, int] = {}
-            index = [distinct.setdefault(raw[x : y + DEPTH - 1], len(distinct)) for x, y in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
-            parts = [np.array([len(p) for p in distinct], "<u4"), np.array(index, "<u4"), ids[owner[own]].astype("<i8"), tags[owner[own]].astype("<i8"), (starts[own] - offsets[owner[own]]).astype("<u4")]
-            out.append(press.compress(struct.pack("<II", len(distinct), len(own)) + b"".join(p.tobytes() for p in parts) + b"".join(distinct)))
-        return pa.RecordBatch.from_arrays([pa.array(shard[order[edges[:-1]]].astype(np.int32)), pa.array(out, pa.binary())], ["shard", "runs"])
-
-    return cut
-
-
-def _read_runs(blob: bytes) -> tuple[list[bytes], list[np.ndarray]]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    n, m = struct.unpack_from("<II", data)
-    at, arrays = 8, []
-    for kind, count in (("<u4", n), ("<u4", m), ("<i8", m), ("<i8", m), ("<u4", m)):
-        arrays.append(np.frombuffer(data, kind, count, at))
-        at += arrays[-1].nbytes
-    bounds = at + np.concatenate([[0], np.cumsum(arrays[0], dtype=np.int64)])
-    return [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], arrays[1:]
-
-
-def _judge(parts: int):
-    """A shard's runs to the windows that go: part of the document, packed (doc_id, tag, start, end)."""
-
-    def judge(table: pa.Table) -> pa.Table:
-        distinct: dict[bytes, int] = {}
-        columns: list[list[np.ndarray]] = [[], [], [], []]
-        for blob in table.column("runs"):
-            runs, (index, ids, tags, starts) = _read_runs(blob.as_py())
-            number = np.array([distinct.setdefault(r, len(distinct)) for r in runs], dtype=np.int32)
-            for column, values in zip(columns, (number[index], ids, tags, starts), strict=True):
-                column.append(values)
-        run, ids, tags, starts = (np.concatenate(c) for c in columns)
-        del columns
-        lengths = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        text = np.frombuffer(b"\xff".join(distinct) + b"\xff", dtype=np.uint8) + np.uint8(1)  # 255 is in no UTF-8; it becomes 0
-        del distinct
-        begin = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-        windows = lengths - DEPTH + 1
-        smallest = np.full(len(lengths), np.iinfo(np.int64).max)
-        np.minimum.at(smallest, run, ids)
-        decides = _deciding_ids(text, begin, windows, smallest)
-
-        # Occurrences whose windows all go or all stay are settled by the run's extremes; others window by window.
-        least, most = _extremes(decides, begin, windows)
-        every, some = ids > most[run], (ids > least[run]) & (ids <= most[run])
-        who, first = [np.flatnonzero(every)], [starts[every].astype(np.int64)]
-        stop = [starts[every] + lengths[run[every]]]
-        mixed = np.flatnonzero(some)
-        count = windows[run[mixed]]
-        blocks = np.searchsorted(np.cumsum(count), np.arange(WINDOW_BLOCK, count.sum() + WINDOW_BLOCK, WINDOW_BLOCK))
-        for x, y in zip([0, *(blocks + 1).tolist()], [*(blocks + 1).tolist(), len(mixed)], strict=True):
-            own = mixed[x:y]
-            if len(own):
-                w, a, b = _mixed_spans(decides, begin[run[own]], windows[run[own]], ids[own])
-                who.append(own[w])
-                first.append(starts[own][w] + a)
-                stop.append(starts[own][w] + b + DEPTH - 1)
-        who, first, stop = np.concatenate(who), np.concatenate(first), np.concatenate(stop)
-        part = _part(ids[who], parts)
-        order = np.lexsort((first, tags[who], ids[who], part))
-        who, first, stop, part = who[order], first[order], stop[order], part[order]
-        edges = _edges(part)
+        shard, distinct, before = (mix(names) % np.uint64(self.shards)).astype(np.int64), self.distinct, len(self.distinct)
+        index = np.array([distinct.setdefault(raw[x : y + DEPTH - 1], len(distinct)) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)])
+        new = np.flatnonzero(index >= before)
+        own = np.empty(len(distinct) - before, dtype=np.int64)
+        own[index[new] - before] = shard[new]
+        self.shard.append(own)
+        self.found.append((index, ids[owner], tags[owner], starts - offsets[owner]))
+        self.held += int((ends - starts).sum()) + 40 * len(starts)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """Rows of (key, kind, runs, places): a shard's runs with their places, and places of frequent runs, dealt evenly."""
+        if not self.found:
+            return
+        runs, shard = list(self.distinct), np.concatenate(self.shard)
+        index, ids, tags, starts = (np.concatenate(c) for c in zip(*self.found, strict=True))
+        smallest = np.full(len(runs), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, index, ids)
+        frequent = np.bincount(index, minlength=len(runs)) > FREQUENT
+        marks = np.frombuffer(b"".join(hashlib.blake2b(r, digest_size=16).digest() for r in runs), dtype=np.uint8).reshape(-1, 16)
+        lengths = np.array([len(r) for r in runs])
+        order = np.lexsort((starts, tags, ids, shard[index]))
         press, out = zstandard.ZstdCompressor(level=1), []
-        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            own = who[x:y]
-            out.append(press.compress(b"".join(v.astype(k).tobytes() for v, k in ((ids[own], "<i8"), (tags[own], "<i8"), (first[x:y], "<u4"), (stop[x:y], "<u4")))))
-        return pa.table({"part": pa.array(part[edges[:-1]].astype(np.int32)), "spans": pa.array(out, pa.binary())})
+        places = lambda own, number: _columns(press, (number, "<u4"), (ids[own], "<i8"), (tags[own], "<i8"), (starts[own], "<u4"))
+        local = np.empty(len(runs), dtype=np.int64)
+        for is_hot in (False, True):
+            chosen = order[frequent[index[order]] == is_hot]
+            where = shard[index[chosen]]
+            edges = _edges(where)
+            stands = {int(where[a]): chosen[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)}
+            every = np.argsort(shard, kind="stable")
+            cuts = _edges(shard[every])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                own, at = every[a:b], int(shard[every[a]])
+                here = stands.get(at, np.zeros(0, dtype=np.int64))
+                if is_hot:
+                    own = own[frequent[own]]
+                    if not len(own):
+                        continue
+                local[own] = np.arange(len(own))
+                body = places(here, local[index[here]])
+                if is_hot:
+                    out.append((at, PLACES, _columns(press, (marks[own].ravel(), "u1")), body))
+                else:
+                    head = _columns(press, (marks[own].ravel(), "u1"), (lengths[own], "<u4"), (smallest[own], "<i8"), (frequent[own], "u1"), (np.frombuffer(b"".join([runs[k] for k in own.tolist()]), dtype=np.uint8), "u1"))
+                    out.append((at, RUNS, head, body))
+        self.distinct, self.held, self.shard, self.found = {}, 0, [], []
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "kind", "runs", "places"])
+
+
+def _columns(press: zstandard.ZstdCompressor, *columns: tuple[np.ndarray, str]) -> bytes:
+    """Columns of numbers, each behind its length in bytes."""
+    made = [values.astype(kind).tobytes() for values, kind in columns]
+    return press.compress(b"".join(struct.pack("<Q", len(m)) + m for m in made))
+
+
+def _read_columns(body: bytes, *kinds: str) -> list[np.ndarray]:
+    data, at, out = zstandard.ZstdDecompressor().decompress(body), 0, []
+    for kind in kinds:
+        (size,) = struct.unpack_from("<Q", data, at)
+        out.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at + 8))
+        at += 8 + size
+    return out
+
+
+def _cut_runs(shards: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = _Cut(shards)
+        for batch in batches:
+            for piece in pieces(batch):
+                cut.add(piece)
+                if cut.held > HELD_BYTES:
+                    yield from cut.rows()
+        yield from cut.rows()
+
+    return each
+
+
+def _judge(parts: int, fan: int):
+    """A shard's runs to spans that go, by part of the document, and to decisions on its frequent runs."""
+
+    def judge(key: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with Scratch() as scratch, tempfile.TemporaryFile(dir=scratch.folder) as texts, tempfile.TemporaryFile(dir=scratch.folder) as places:
+            sizes, columns = [], []
+            for batch in batches:
+                for kind, runs, place in zip(*(batch.column(c).to_pylist() for c in ("kind", "runs", "places")), strict=True):
+                    if kind == PLACES:  # these only pass
+                        sub = int(mix(np.array([zlib.crc32(place)], dtype=np.uint64))[0] % np.uint64(fan))
+                        yield _judged([key * fan + sub], [PLACES], [runs], [place])
+                        continue
+                    marks, lengths, smallest, frequent, text = _read_columns(runs, "V16", "<u4", "<i8", "u1", "u1")
+                    columns.append((marks, lengths, smallest, frequent))
+                    texts.write(text.tobytes())
+                    places.write(place)
+                    sizes.append((len(marks), len(place)))
+            if not sizes:
+                return
+            marks, lengths, smallest, frequent = (np.concatenate(c) for c in zip(*columns, strict=True))
+            del columns
+            halves = marks.view("<u8").reshape(-1, 2)
+            order = np.lexsort((halves[:, 1], halves[:, 0]))
+            new = np.concatenate([[True], (halves[order][1:] != halves[order][:-1]).any(axis=1)])
+            number = np.empty(len(order), dtype=np.int64)
+            number[order] = np.cumsum(new) - 1
+            lead = order[new]  # one row for each distinct run
+            least = np.minimum.reduceat(smallest[order], np.flatnonzero(new))
+            hot = np.maximum.reduceat(frequent[order], np.flatnonzero(new)) > 0
+            head, when, who = _decisions(texts, np.cumsum(lengths, dtype=np.int64) - lengths, lengths, lead, least, scratch)
+            size = lengths[lead].astype(np.int64)
+            if hot.any():
+                press, own = zstandard.ZstdCompressor(level=1), np.flatnonzero(hot)
+                counts = np.diff(head)[own]
+                at = np.repeat(head[own] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+                yield _judged([key], [DECISIONS], [_columns(press, (marks[lead[own]].view("u1"), "u1"), (size[own], "<u4"), (counts, "<u4"), (when[at], "<u4"), (who[at], "<i8"))], [b""])
+            places.seek(0)
+            first = 0
+            for n, width in sizes:
+                index, ids, tags, starts = _read_columns(places.read(width), "<u4", "<i8", "<i8", "<u4")
+                yield from _going(number[first : first + n][index], ids, tags, starts, head, when, who, size, parts)
+                first += n
 
     return judge
 
 
-def _deciding_ids(text: np.ndarray, begin: np.ndarray, windows: np.ndarray, smallest: np.ndarray) -> np.ndarray:
-    """For the first byte of every window: the smallest doc_id in which its 50 bytes stand."""
-    change = np.zeros(len(text) + 1, dtype=np.int32)
-    np.add.at(change, begin, 1)
-    np.add.at(change, begin + windows, -1)
-    is_window = np.cumsum(change[:-1]) > 0
-    order = suffix_order(text)
-    order = order[is_window[order]]
-    group = np.flatnonzero(~same_prefix(text, order))
-    own = smallest[np.searchsorted(begin, order, "right") - 1]
-    decides = np.zeros(len(text), dtype=np.int64)
-    decides[order] = np.repeat(np.minimum.reduceat(own, group), np.diff(np.append(group, len(order))))
-    return decides
-
-
-def _extremes(decides: np.ndarray, begin: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edges = np.stack([begin, begin + windows], axis=1).ravel()
-    return np.minimum.reduceat(decides, edges)[::2], np.maximum.reduceat(decides, edges)[::2]
-
-
-def _mixed_spans(decides: np.ndarray, begin: np.ndarray, count: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrence, first and last-plus-one window of the stretches of windows that go."""
-    total = np.cumsum(count)
-    at = np.repeat(begin - (total - count), count) + np.arange(total[-1])
-    goes = np.repeat(ids, count) > decides[at]
-    edge = np.zeros(len(goes), dtype=bool)
-    edge[total - count] = True
-    on = np.flatnonzero(goes & (edge | ~np.concatenate([[False], goes[:-1]])))
-    off = np.flatnonzero(goes & np.concatenate([edge[1:] | ~goes[1:], [True]]))
-    who = np.searchsorted(total, on, "right")
-    base = (total - count)[who]
-    return who, on - base, off - base + 1
+def _judged(key: list, kind: list, runs: list, places: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kind, pa.int32()), pa.array(runs, pa.binary()), pa.array(places, pa.binary())], ["key", "kind", "runs", "places"])
+
+
+def _decisions(texts: object, begin: np.ndarray, lengths: np.ndarray, lead: np.ndarray, least: np.ndarray, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each distinct run (``lead``): where its stretches begin among all, the first window of each, and the
+    smallest doc_id in which the windows of the stretch stand. The runs are one text, whose suffixes are sorted on disk."""
+    size = lengths[lead].astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(size + 1)])
+    text = scratch.array(int(offsets[-1]), "uint8")
+    for k, (a, n) in enumerate(zip(begin[lead].tolist(), size.tolist(), strict=True)):
+        texts.seek(a)
+        own = np.frombuffer(texts.read(n), dtype=np.uint8)
+        text[offsets[k] : offsets[k] + n] = own + np.uint8(2)  # UTF-8 bytes end at 244
+        text[offsets[k] + n] = 1
+    order, shared = sort_suffixes(text, scratch)
+    decides = scratch.array(len(text), "int64")
+    at = 0
+    while at < len(order):  # blocks end between classes of windows that share DEPTH bytes
+        stop = min(len(order), at + SORTED_ROWS)
+        while stop < len(order):
+            apart = np.flatnonzero(shared[stop : stop + SORTED_ROWS] < DEPTH)
+            stop = min(len(order), stop + (int(apart[0]) if len(apart) else SORTED_ROWS))
+            if len(apart):
+                break
+        places = order[at:stop]
+        run = np.searchsorted(offsets, places, "right") - 1
+        inside = np.flatnonzero(offsets[run + 1] - 1 - places >= DEPTH)
+        if len(inside):
+            group = np.cumsum(shared[at:stop] < DEPTH)[inside]
+            edges = _edges(group)
+            decides[places[inside]] = np.repeat(np.minimum.reduceat(least[run[inside]], edges[:-1]), np.diff(edges))
+        at = stop
+    heads, when, who = [np.zeros(1, dtype=np.int64)], [], []
+    total = 0
+    for a in range(0, len(size), DECIDED_RUNS):
+        windows = size[a : a + DECIDED_RUNS] - DEPTH + 1
+        first = np.cumsum(windows) - windows
+        place = np.repeat(offsets[a : a + len(windows)] - first, windows) + np.arange(int(windows.sum()))
+        values = decides[place]
+        new = np.concatenate([[True], values[1:] != values[:-1]])
+        new[first] = True
+        new = np.flatnonzero(new)
+        own = np.searchsorted(first, new, "right") - 1
+        when.append(new - first[own])
+        who.append(values[new])
+        counts = np.bincount(own, minlength=len(windows))
+        heads.append(total + np.cumsum(counts))
+        total += len(new)
+    return np.concatenate(heads), np.concatenate(when), np.concatenate(who)
+
+
+def _going(run: np.ndarray, ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, head: np.ndarray, when: np.ndarray, who: np.ndarray, size: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """The stretches of places whose documents are not the first, as packed spans by part of the document."""
+    counts = np.diff(head)[run]
+    owner = np.repeat(np.arange(len(run)), counts)
+    at = np.repeat(head[run] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    goes = np.flatnonzero(ids[owner] > who[at])
+    owner, at = owner[goes], at[goes]
+    last = at + 1 == head[run[owner] + 1]
+    upto = np.where(last, size[run[owner]] - DEPTH + 1, when[np.minimum(at + 1, len(when) - 1)])
+    first, stop = starts[owner].astype(np.int64) + when[at], starts[owner].astype(np.int64) + upto + DEPTH - 1
+    part = _part(ids[owner], parts)
+    order = np.lexsort((first, tags[owner], ids[owner], part))
+    owner, first, stop, part = owner[order], first[order], stop[order], part[order]
+    edges = _edges(part)
+    press, out = zstandard.ZstdCompressor(level=1), []
+    for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        own = owner[x:y]
+        out.append(press.compress(b"".join(v.astype(k).tobytes() for v, k in ((ids[own], "<i8"), (tags[own], "<i8"), (first[x:y], "<u4"), (stop[x:y], "<u4")))))
+    if out:
+        yield _judged(part[edges[:-1]].tolist(), [SPANS] * len(out), [b""] * len(out), out)
+
+
+def _settle_frequent(parts: int):
+    """Decisions on a shard's frequent runs, then the places of these runs, to spans."""
+
+    def settle(key: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
+        for batch in batches:
+            for kind, runs, place in zip(*(batch.column(c).to_pylist() for c in ("kind", "runs", "places")), strict=True):
+                if kind == DECISIONS:
+                    marks, size, counts, when, who = _read_columns(runs, "V16", "<u4", "<u4", "<u4", "<i8")
+                    number = {m: k for k, m in enumerate(marks.tolist())}
+                    known = (np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), when.astype(np.int64), who, size.astype(np.int64))
+                    continue
+                (marks,) = _read_columns(runs, "V16")
+                own = np.array([number[m] for m in marks.tolist()])
+                index, ids, tags, starts = _read_columns(place, "<u4", "<i8", "<i8", "<u4")
+                yield from _going(own[index], ids, tags, starts, *known, parts)
+
+    return settle
 
 
 def _gather(table: pa.Table) -> pa.Table:
     """A part's packed windows to one row a document: doc_id, tag, spans (start, end pairs, u32, merged)."""
     columns: list[list[np.ndarray]] = [[], [], [], []]
     press = zstandard.ZstdDecompressor()
-    for blob in table.column("spans"):
+    for blob in table.column("places"):
         data = press.decompress(blob.as_py())
         n, at = len(data) // 24, 0
         for column, kind in zip(columns, ("<i8", "<i8", "<u4", "<u4"), strict=True):
@@ -368,25 +487,28 @@ def repeated_spans(docs: DataFrame, folder: str | None = None) -> tuple[DataFram
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tag"), text.alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots, shards = max(8, -(-total // SLOT_BYTES)), max(8, -(-total // SHARD_BYTES))
-    whole = texts.where("doc_id is not null and text is not null")
-    names = map_pieces(whole, _name_rows(slots), "slot int, flag int, names binary")
-    repeating = by_key(names, "slot", _survivors(slots), "part int, names binary")
-    survivors = saved(by_key(repeating, "part", _found, "doc_id long, tag long, found binary"), folder, "survivors")
+    named = texts.where("doc_id is not null and text is not null")
+    names = map_pieces(named, _name_rows(slots), "slot int, flag int, names binary")
+    repeating = by_key(names, "slot", 2 * slots, whole(_survivors(slots)), "part int, names binary")
+    survivors = saved(by_key(repeating, "part", slots, whole(_found), "doc_id long, tag long, found binary"), folder, "survivors")
     touched = survivors.select("doc_id", "tag")
-    runs = map_pieces(_only(texts, touched, "left_semi").join(survivors, ["doc_id", "tag"]), _cut_runs(shards), "shard int, runs binary")
-    going = by_key(runs, "shard", _judge(shards), "part int, spans binary")
-    spans = saved(by_key(going, "part", _gather, "doc_id long, tag long, spans binary"), folder, "spans")
+    chosen = texts.join(small(touched, 64), ["doc_id", "tag"], "left_semi").join(survivors, ["doc_id", "tag"])
+    bounded_batches(spark)
+    runs = chosen.mapInArrow(_cut_runs(shards), "shard long, kind int, runs binary, places binary")
+    fan = int(min(MOST_FAN, max(2, -(-total // FAN_BYTES))))
+    judged = saved(by_key(runs, "shard", shards, _judge(slots, fan), JUDGED), folder, "judged")
+    going = judged.where(F.col("kind") == SPANS)
+    frequent = judged.where(F.col("kind") == DECISIONS)
+    if not frequent.isEmpty():
+        sent = frequent.withColumn("key", F.explode(F.sequence(F.col("key") * fan, F.col("key") * fan + fan - 1)))
+        both = sent.unionByName(judged.where(F.col("kind") == PLACES))
+        going = going.unionByName(by_key(both, "key", shards, _settle_frequent(slots), JUDGED, "kind"))
+    spans = saved(by_key(going.withColumnRenamed("key", "part"), "part", slots, whole(_gather), "doc_id long, tag long, spans binary"), folder, "spans")
     return texts, spans
 
 
-def _only(texts: DataFrame, touched: DataFrame, how: str) -> DataFrame:
-    few = touched.count() <= BROADCAST_IDS
-    return texts.join(F.broadcast(touched) if few else touched, ["doc_id", "tag"], how)
-
-
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts, spans = repeated_spans(docs)
-    few = spans.count() <= BROADCAST_SPANS
-    joined = texts.join(F.broadcast(spans) if few else spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
+    joined = texts.join(small(spans, 64, "spans"), ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
     return map_pieces(joined, _result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

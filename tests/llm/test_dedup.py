@@ -1,16 +1,18 @@
 import hashlib
 import itertools
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from rasterweave.llm import lines, minhash, queries, spandedup
+from rasterweave.llm import lines, minhash, queries, spandedup, suffixes
 from rasterweave.llm.components import components
 from rasterweave.llm.editdistance import _plain, within
-from rasterweave.llm.suffixes import suffix_order
 
 from .conftest import SCHEMA, odd_rows
 
@@ -168,18 +170,85 @@ def test_registered_query_and_stage_take_short_lines(spark, tmp_path):
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, df, "").collect()} == {1: rows[0][1], 2: "quite another\n"}
 
 
-@pytest.mark.parametrize("memory", [100, 1 << 20])
-def test_suffix_order(memory):
-    rng = np.random.default_rng(2)
-    for n in (1, 2, 7, 200, 900):
-        text = rng.choice(np.array([0, 1, 2, 2, 9], dtype=np.uint8), n)
-        order = suffix_order(text, memory)
-        keys = [text.tobytes()[i : i + 50] for i in order]
-        assert sorted(order.tolist()) == list(range(n)) and keys == sorted(keys)
+def plain_order(text):
+    """Suffixes in order, and what each shares with the one before it, at most 50 bytes."""
+    b = text.tobytes()
+    order = sorted(range(len(b)), key=lambda i: b[i:])
+    common = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+    return order, [0] * (len(b) > 0) + [common(b[i : i + 50], b[j : j + 50]) for i, j in itertools.pairwise(order)]
 
 
-def test_spans_against_the_definition(spark, odd, nothing):
-    rows = odd_rows()
+@pytest.mark.parametrize("memory", [200, 4000, 1 << 20])
+def test_suffix_order(monkeypatch, memory):
+    """Recursion over several levels, ranges and single buckets, queues on disk and in memory."""
+    rng = np.random.default_rng(2)
+    deepest = spilled = 0
+    for rows, small, frequent in ((16, 8, 3), (64, 16, 16), (1 << 16, 1 << 12, 4096)):
+        monkeypatch.setattr(suffixes, "ROWS", rows)
+        monkeypatch.setattr(suffixes, "SMALL", small)
+        monkeypatch.setattr(suffixes, "FREQUENT", frequent)
+        for n in (0, 1, 2, 7, 200, 900):
+            for letters in (1, 2, 5, 250):
+                text = rng.integers(1, letters + 1, n).astype(np.uint8)
+                text[n // 2 : n // 2 + n // 4] = text[: n // 4]  # a long repeat
+                for made in (text, np.tile(text[: max(1, n // 9)], 9) if n else text):
+                    with suffixes.Scratch(memory) as scratch:
+                        order, shared = (x.tolist() for x in suffixes.sort_suffixes(made, scratch))
+                        deepest, spilled = max(deepest, scratch.levels), spilled + scratch.spilled
+                    assert (order, shared) == plain_order(made)
+    assert deepest >= 4 and (spilled > 0) == (memory < 1 << 20)
+
+
+def test_suffixes_beyond_memory():
+    """A text whose tuples are many times what the process may hold: they wait on disk, and the order is right."""
+    code = """
+import resource, numpy as np
+from rasterweave.llm import suffixes
+suffixes.ROWS = 1 << 12
+rng = np.random.default_rng(4)
+words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(2000)]
+text = np.frombuffer(b" ".join(words[k] for k in rng.integers(0, 2000, 450_000)), dtype=np.uint8)
+with suffixes.Scratch(1 << 18) as scratch:
+    held = scratch.array(len(text), "uint8")
+    held[:] = text
+    del words
+    used = int(open("/proc/self/statm").read().split()[5]) * resource.getpagesize()  # data and stack
+    resource.setrlimit(resource.RLIMIT_DATA, (used + (20 << 20), -1))
+    order, shared = suffixes.sort_suffixes(held, scratch)
+    raw = text.tobytes()
+    at = rng.integers(1, len(text), 20_000)
+    for i, j, n in zip(order[at - 1].tolist(), order[at].tolist(), shared[at].tolist()):
+        assert raw[i : i + 400] < raw[j : j + 400] and raw[i : i + n] == raw[j : j + n] and (n == 50 or raw[i + n : i + n + 1] != raw[j + n : j + n + 1])
+    assert 24 * len(text) > 3 * (20 << 20) and scratch.spilled > len(text) and scratch.levels > 2
+    seen = np.zeros(len(text), dtype=bool)
+    seen[order] = True
+    assert seen.all()
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_shards_spill_at_production_settings(spark):
+    """A shard of the given documents does not fit the queues' memory."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null").limit(2500)
+    raw = "\n".join(r["text"] for r in docs.select("text").collect()).encode()[: 4 << 20]
+    with suffixes.Scratch() as scratch:
+        suffixes.sort_suffixes(np.frombuffer(raw, dtype=np.uint8) + np.uint8(2), scratch)
+        assert scratch.spilled > 0 and 24 * len(raw) > suffixes.MEMORY
+
+
+def test_frequent_runs_are_dealt_out(spark, monkeypatch):
+    """One passage in every document, one in some: the places of frequent runs go their own way, with the same result."""
+    rng = random.Random(3)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    often, seldom = fresh(40), fresh(30)
+    rows = [(k, fresh(6) + " " + often[k % 3 :] + " " + fresh(4) + (seldom if k % 50 == 7 else "")) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(spandedup, "FREQUENT", 10)
+    assert sorted(map(tuple, spandedup.digests(df).collect())) == sorted(defined_spans(rows))
+
+
+def defined_spans(rows):
     first = {}
     for i, text in sorted((r[0], r[1] or "") for r in rows if r[0] is not None):
         b = text.encode()
@@ -194,6 +263,11 @@ def test_spans_against_the_definition(spark, odd, nothing):
                 gone[k : k + 50] = True
         runs = int(np.count_nonzero(np.diff(np.concatenate([[False], gone]).astype(int)) == 1))
         want.append((r[0], len(b), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
+    return want
+
+
+def test_spans_against_the_definition(spark, odd, nothing):
+    want = defined_spans(odd_rows())
     key = lambda t: (t[0] is None, t[0] or 0, t[1:])
     got = [tuple(r) for r in spandedup.digests(odd).collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
