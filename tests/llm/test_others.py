@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -153,6 +155,23 @@ def test_top_k(spark):
     assert topk.top_k(df.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("huge", [[], [3e5], [3e5, -2.5e13, 1e15, 7e200, 1.5e308]])
+def test_top_k_is_exact_for_every_finite_vector(spark, huge):
+    """One or more huge components, ties among them, and lengths that are rare: as whole numbers say."""
+    rng = np.random.default_rng(5)
+    vectors = [(i, [float(x) for x in rng.integers(-900, 900, 6) / 256 + rng.random(6) / 300]) for i in range(90)]
+    vectors += [(200 + i, [x, 0.5, 0.0, -1.0, 2.0, 0.25 * (i % 2)]) for i, x in enumerate(huge * 3)]
+    vectors += [(350, [huge[-1] if huge else 1.0, 1.0, 1.0, 1.0, 1.0, 1.0]), (400, [1.0, 2.0]), (401, [3.0, 1.0]), (402, [3.0, 1.0]), (403, [])]
+    exact = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in vectors}
+    want = []
+    for i in exact:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(exact[i], w, strict=True)), j) for j, w in exact.items() if j != i and len(w) == len(exact[i]) > 0)[:5]
+            want += [(i, r + 1, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(best)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect())) == sorted(want)
+
+
 def test_pii_base_and_added(odd, nothing):
     def brute(text):
         out = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
