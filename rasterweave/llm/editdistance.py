@@ -2,15 +2,19 @@
 
 The recurrences are those of Hyyro's bit-parallel algorithm on a band that moves down one row a column:
 the top bit of a word is row ``column + bound``. Match bits are given inside the band only; a path with at
-most ``bound`` edits never leaves it.
+most ``bound`` edits never leaves it. Pairs go through the columns together with others of about their length,
+and leave once their distance can't come back under the bound; the few that are longer than LONG bytes
+follow the band's diagonals instead, from one difference to the next.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Pairs that go through the columns together.
-LANES = 4096
+#: Pairs that go through the columns together, at most so many cells of them; pairs with longer texts go alone.
+LANES, CELLS, LONG = 4096, 1 << 21, 2048
+#: Columns after which pairs that are too far are dropped; bytes that a diagonal compares at once.
+CHECK, STRIDE = 32, 1 << 16
 _ONE = np.uint64(1)
 
 
@@ -19,18 +23,56 @@ def within(left: list[bytes], right: list[bytes], bound: int) -> np.ndarray:
     m = np.array([len(x) for x in left], dtype=np.int64)
     n = np.array([len(x) for x in right], dtype=np.int64)
     out = np.zeros(len(left), dtype=bool)
-    near = np.flatnonzero(np.abs(m - n) <= bound)
-    tiny = near[(m[near] <= bound) | (n[near] <= bound)]
-    for i in tiny.tolist():
+    near = np.abs(m - n) <= bound
+    tiny, long_ = np.minimum(m, n) <= bound, np.maximum(m, n) > LONG
+    for i in np.flatnonzero(near & tiny).tolist():
         out[i] = _plain(left[i], right[i]) <= bound
-    rest = near[(m[near] > bound) & (n[near] > bound)]
+    for i in np.flatnonzero(near & long_ & ~tiny).tolist():
+        out[i] = _diagonals(left[i], right[i], bound)
+    rest = np.flatnonzero(near & ~tiny & ~long_)
     rest = rest[np.argsort(n[rest], kind="stable")]
-    for at in range(0, len(rest), LANES):
-        lanes = rest[at : at + LANES]
+    at = 0
+    while at < len(rest):
+        shortest = int(n[rest[at]])
+        stop = min(int(np.searchsorted(n[rest], shortest + shortest // 4 + 8, "right")), at + max(1, min(LANES, CELLS // (shortest + 1))))
+        lanes = rest[at:stop]
         out[lanes] = _lanes([left[i] for i in lanes], [right[i] for i in lanes], m[lanes], n[lanes], bound) <= bound
+        at = stop
     return out
 
 
+def _alike(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    """How many bytes are the same from place i of a and j of b on."""
+    n, at = min(len(a) - i, len(b) - j), 0
+    while at < n:
+        size = min(STRIDE, n - at)
+        differ = a[i + at : i + at + size] != b[j + at : j + at + size]
+        first = int(differ.argmax())
+        if differ[first]:
+            return at + first
+        at += size
+    return max(n, 0)
+
+
+def _diagonals(left: bytes, right: bytes, bound: int) -> bool:
+    """For each number of edits and diagonal the furthest place that can be reached."""
+    a, b = np.frombuffer(left, dtype=np.uint8), np.frombuffer(right, dtype=np.uint8)
+    far: dict[int, int] = {}
+    for edits in range(bound + 1):
+        now = {}
+        for d in range(-edits, edits + 1):  # place in b less place in a
+            starts = [far[d] + 1] if d in far else []  # a byte replaced
+            starts += [far[d - 1]] if d - 1 in far else []  # a byte of b more
+            starts += [far[d + 1] + 1] if d + 1 in far else []  # a byte of a more
+            i = min(max(starts, default=0), len(a))
+            if 0 <= i + d <= len(b):
+                now[d] = i + _alike(a, b, i, i + d)
+        if now.get(len(b) - len(a), -1) == len(a):
+            return True
+        far = now
+    return False
+
+
 def _plain(a: bytes, b: bytes) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -55,10 +97,18 @@ def _lanes(left: list[bytes], right: list[bytes], m: np.ndarray, n: np.ndarray,
     vp = np.full(len(left), (0xFFFFFFFFFFFFFFFF << (63 - k)) & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
     vn = np.zeros(len(left), dtype=np.uint64)
     distance = np.full(len(left), k, dtype=np.int64)
+    final, own = distance.copy(), np.arange(len(left))
     with np.errstate(over="ignore"):
         for j in range(1, columns + 1):
+            if j % CHECK == 0:  # along the slope a distance never falls, on the level at the end by one in each of 2 k columns at most
+                stay = (j <= n) & (distance <= 3 * k)
+                if not stay.all():
+                    final[own[~stay]] = distance[~stay]
+                    own, a, b, m, n, vp, vn, distance = own[stay], a[:, stay], b[:, stay], m[stay], n[stay], vp[stay], vn[stay], distance[stay]
+                    if not len(own):
+                        break
             text = b[j - 1]
-            x = np.zeros(len(left), dtype=np.uint64)
+            x = np.zeros(len(own), dtype=np.uint64)
             for d in range(-k, k + 1):  # row j + d of the pattern is cell j + d - 1, padded by k
                 x |= (a[j + d - 1 + k] == text).astype(np.uint64) << np.uint64(63 - k + d)
             d0 = (((x & vp) + vp) ^ vp) | x | vn
@@ -74,4 +124,5 @@ def _lanes(left: list[bytes], right: list[bytes], m: np.ndarray, n: np.ndarray,
             shifted = d0 >> _ONE
             vp = hn | ~(shifted | hp)
             vn = shifted & hp
-    return distance
+    final[own] = distance
+    return final

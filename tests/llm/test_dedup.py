@@ -5,6 +5,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -89,6 +90,17 @@ def test_edit_distance_and_probes():
     assert len(lines.PROBES) == 12
 
 
+def test_long_pairs_do_not_slow_others():
+    """Lanes hold pairs of about one length; the longest pairs follow diagonals."""
+    rng = random.Random(8)
+    long_ = bytes(rng.choice(b"abcdefgh") for _ in range(1_000_000))
+    left = [b"some line of the usual length, number %d" % k for k in range(500)] + [long_, long_, long_]
+    right = [x.replace(b"usual", b"usual!") for x in left[:500]] + [long_[:7] + b"x" + long_[8:-3] + long_[-2:], long_[1:] + b"h", b"xyz" + long_[3:]]
+    began = time.monotonic()
+    got = within(left, right, 2)
+    assert time.monotonic() - began < 3 and got[:500].all() and got[500:].tolist() == [True, True, False]
+
+
 def removed_lines(rows):
     places = []
     for i, text in sorted((r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None):
@@ -137,6 +149,30 @@ def close_lines(rows):
     return {(i, k) for i, k, f in places if any((j, m) < (i, k) and abs(len(f) - len(g)) <= 2 and _plain(f, g) <= 2 for j, m, g in places)}
 
 
+@pytest.mark.parametrize("refine", [False, True])
+def test_templates_and_common_lines(spark, monkeypatch, refine):
+    """Many lines of one template share a segment; one line stands in every document; columns bear the names of the work."""
+    if refine:
+        monkeypatch.setattr(lines, "FREQUENT", 4)
+        monkeypatch.setattr(lines, "COMMON_LEAST", 20)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(9))
+    rows = []
+    for k in range(120):
+        line = f"posted by the member {word()} of this forum"
+        near = line[:24] + "#" + line[25:]
+        rows.append((k, f"{line}\nAll rights reserved.\n{rng.choice((near, near[:30] + near[32:], word()))}\n" + "\n".join([word()] * (k % 3))))
+    df = spark.createDataFrame([(*r, 1, b"x", "z", 5) for r in rows], "doc_id long, text string, drop int, gone binary, own string, __id int")
+    want = close_lines(rows)
+    got = {(r["doc_id"], int(k)) for r in lines.digests(df, least=1).collect() for k in r["removed"].split(",") if k}
+    assert got == want
+    if refine:
+        texts = {r["doc_id"]: r for r in lines.deduplicated(df, least=1).collect()}
+        for i, text in rows:
+            assert texts[i]["text"] == "\n".join(x for k, x in enumerate(text.split("\n")) if (i, k) not in want)
+            assert (texts[i]["drop"], bytes(texts[i]["gone"]), texts[i]["own"], texts[i]["__id"]) == (1, b"x", "z", 5)
+
+
 def test_hubs_against_edit_distance():
     forms = [bytes(f) for n in range(1, 5) for f in itertools.product(b"abcd", repeat=n)]
     keys = {f: lines.hubs(f) for f in forms}
