@@ -10,7 +10,8 @@ For prediction, embedding and filters are folded into tables of byte pairs, so a
 table rows instead of a product; the result is the same network.
 
 Inputs: a null text or one without a letter is ``und`` with score 0; with no labelled text at all every row
-is ``und``; rows with a null doc_id are predicted like all others and are never used for training; extra
+is ``und``; rows with a null doc_id are predicted like all others and are never used for training; rows equal
+in language, doc_id and text are trained on once, rows that only share a doc_id are rows of their own; extra
 columns are ignored; an empty table gives no rows.
 """
 
@@ -20,15 +21,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterweave.llm.common import bounded_batches, map_pieces, pieces, utf8
+from rasterweave.llm.common import bounded_batches, map_pieces, pieces, saved, shared_folder, small, utf8
 
 WINDOW, PAD = 256, 0
 WIDTHS, FILTERS, DEPTH = (2, 3, 4), 12, 8
 TRAIN_DOCS, TRAIN_WINDOWS = 500, 4
-SALTS = 64
+#: The hash bound lets so many times TRAIN_DOCS through.
+SPARE = 1.3
 EPOCHS, RATE, DECAY = 8, 0.004, 1e-5
 #: Windows that are scored at once; their partial sums stay in a core's cache.
 CHUNK = 64
@@ -155,13 +157,13 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame) -> Network | None:
     """A network from the labelled rows that are not held out; None if there are none."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    ids = labelled.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)).alias("salt"))
-    for keys in (["lang", "salt"], ["lang"]):  # the first narrows each language in many tasks
-        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
-        ids = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRAIN_DOCS).drop("k")
-    ids = ids.select("doc_id", "lang").distinct()
-    sample = labelled.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    order = F.xxhash64("doc_id", "text")
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).withColumn("order", order)
+    # Rows under a hash bound that leaves somewhat more than TRAIN_DOCS distinct ones a language; the driver takes the first of them.
+    counts = saved(labelled.groupBy("lang").agg(F.approx_count_distinct("order", 0.05).alias("n")), shared_folder(docs.sparkSession), "languages")
+    bound = F.least(F.lit(1.0), F.lit(SPARE * TRAIN_DOCS) / F.col("n"))
+    under = labelled.join(small(counts, 64, "lang"), "lang").where(F.pmod("order", F.lit(1 << 32)) < bound * (1 << 32))
+    sample = under.groupBy("lang", "doc_id", "order").agg(F.min("text").alias("text"))
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         made, owner, used = cut_windows(*utf8(batch.column("text")))
@@ -169,17 +171,18 @@ def fit(docs: DataFrame) -> Network | None:
         per = np.bincount(owner, minlength=batch.num_rows)[owner] if len(owner) else owner
         step = np.maximum(1, per // TRAIN_WINDOWS)
         keep = (rank % step == 0) & (rank // step < TRAIN_WINDOWS) & (used >= 8)
-        langs = batch.column("lang").take(pa.array(owner[keep]))
-        ids_ = batch.column("doc_id").take(pa.array(owner[keep]))
-        return pa.RecordBatch.from_arrays([ids_, langs, pa.array([w.tobytes() for w in made[keep]], pa.binary())], ["doc_id", "lang", "win"])
+        columns = [batch.column(c).take(pa.array(owner[keep])) for c in ("lang", "order", "doc_id")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([w.tobytes() for w in made[keep]], pa.binary())], ["lang", "order", "doc_id", "win"])
 
-    rows = map_pieces(sample, windows, "doc_id long, lang string, win binary").collect()
-    rows = sorted((r["lang"], r["doc_id"], bytes(r["win"])) for r in rows)
+    rows = sorted((r["lang"], r["order"] % (1 << 32), r["doc_id"], bytes(r["win"])) for r in map_pieces(sample, windows, "lang string, order long, doc_id long, win binary").collect())
     if not rows:
         return None
-    languages = sorted({r[0] for r in rows})
-    x = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint8).reshape(-1, WINDOW)
-    return train(x, np.array([languages.index(r[0]) for r in rows]), languages)
+    taken: dict[str, dict] = {}
+    chosen = [r for r in rows if len(taken.setdefault(r[0], {})) < TRAIN_DOCS or r[1:3] in taken[r[0]] if taken[r[0]].setdefault(r[1:3], True)]
+    chosen = sorted((r[0], r[2], r[3]) for r in chosen)
+    languages = sorted(taken)
+    x = np.frombuffer(b"".join(r[2] for r in chosen), dtype=np.uint8).reshape(-1, WINDOW)
+    return train(x, np.array([languages.index(r[0]) for r in chosen]), languages)
 
 
 def _predictions(net: Network | None, tables: tuple | None, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -211,11 +214,14 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows, all their columns kept, whose text has a language: not ``und``, and a score of ``least`` or more."""
+    """The rows, all their columns kept, whose text has a language: not ``und``, and a score of ``least`` or more.
+
+    Without any labelled text there is no network, and every row stays.
+    """
     typed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     net = fit(typed)
-    if net is None:
-        return docs.limit(0)
+    if net is None:  # nothing was learnt that could speak against a text
+        return docs
     bounded_batches(docs.sparkSession)
     tables: list = []
 
