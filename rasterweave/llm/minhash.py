@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterweave.llm.common import map_pieces, mix, saved, shared_folder, utf8
+from rasterweave.llm.common import map_pieces, mix, saved, shared_folder, small, utf8
 from rasterweave.llm.components import components
 from rasterweave.llm.words import shingle_sets
 
@@ -35,8 +35,6 @@ BINS, BANDS = 128, 32
 SAMPLE = 4
 #: Hashed places of a count vector, and strays or members in a block.
 PLACES, BLOCK = 8192, 512
-#: Document ids are broadcast to pick texts up to this many (8 bytes each); beyond it both sides are shuffled.
-BROADCAST_IDS = 4_000_000
 ROWS = BINS // BANDS
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
@@ -96,8 +94,7 @@ def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
 def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b`` with the exact shared count and union of their sets, made again from the texts that pairs name."""
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    few = ends.count() <= BROADCAST_IDS
-    chosen = texts.join(F.broadcast(ends) if few else ends, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    chosen = texts.join(small(ends, 32), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     sets = map_pieces(chosen, _sets, "id long, shingles array<long>")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
@@ -138,8 +135,7 @@ def _against_all(placed: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     split = counts.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("strays") / BLOCK).cast("int").alias("sb"))
     rows = placed.join(split, "key")
     ends = rows.select(F.col("id").alias("doc_id")).distinct()
-    few = ends.count() <= BROADCAST_IDS
-    chosen = texts.join(F.broadcast(ends) if few else ends, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    chosen = texts.join(small(ends, 32), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     rows = rows.join(map_pieces(chosen, _places, "id long, places binary"), "id")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     body = ["key", "id", "n", "far", "component", "places"]
@@ -204,10 +200,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, folder: str | None = Non
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows, all their columns kept, without documents whose group has a smaller doc_id; equal rows once."""
+    """The rows, all their columns kept, without documents whose group has a smaller doc_id.
+
+    Rows that repeat a doc_id are one document: the one that comes first, written as JSON, stays. Rows with a
+    null doc_id are no documents and stay, each of them.
+    """
     marks = near_duplicates(docs, percent)
-    verdicts = saved(marks.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), shared_folder(docs.sparkSession), "verdicts")
-    gone = verdicts.where("not kept").select(F.col("doc_id").alias("__gone"))
-    few = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
-    return left if verdicts.where("rows > 1").isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    folder = shared_folder(docs.sparkSession)
+    verdicts = saved(marks.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), folder, "verdicts")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col("doc_id").cast("long").alias("doc_id"))
+    left = packed.join(small(verdicts.where("not kept or rows > 1").select("doc_id"), 32), "doc_id", "left_anti")
+    again = packed.join(small(verdicts.where("kept and rows > 1").select("doc_id"), 32), "doc_id", "left_semi")
+    return left.select("own.*").unionByName(again.groupBy("doc_id").agg(F.min_by("own", F.to_json("own")).alias("own")).select("own.*"))

@@ -51,6 +51,16 @@ def test_near_duplicates_against_all_pairs(spark, odd, nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    """The same rule for all: one row an id stays, rows without an id stay, and which one stays is no chance."""
+    words = [f"word{k}" for k in range(40)]
+    rows = [(1, " ".join(words), "b"), (1, " ".join(words), "a"), (2, " ".join(words[1:]), "c"), (3, "x", "z"), (3, "y", "z"), (3, "y", "a"), (None, "x", "q"), (None, "x", "q"), (None, None, None)]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string, own string").repartition(parts)
+        kept = sorted(map(tuple, minhash.one_of_each(df).collect()), key=str)
+        assert kept == sorted([rows[1], (3, "x", "z"), *rows[6:]], key=str)
+
+
 def test_strays_of_a_large_group_are_linked(spark):
     """A chain: each text is close to its neighbours only, and all share buckets with a distant centre."""
     base = [f"w{k}" for k in range(60)]
