@@ -7,7 +7,8 @@ repaired: the stretch between the last sure boundary before it and the first one
 again, and accepted when both its ends are token ends in the chunks around it; else it grows to the next
 sure boundary and is encoded again, until they agree. A sure boundary is a space after a character that
 is not white space and before an ASCII letter: the pre-tokenizer starts a token there whatever stands
-around, and no special token holds a space.
+around, and no special token holds a space. A text with few sure boundaries (no spaces, other scripts) is
+encoded whole, as is every text if the tokenizer file does not keep the rules that this rests on.
 
 Decoding joins the tokens' bytes and reads them as UTF-8 with replacement, as the library's decoder does.
 
@@ -19,6 +20,7 @@ repeat, and those with a null doc_id, are encoded like any other; other columns
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from bisect import bisect_left, bisect_right
 
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 
 from rasterweave.llm.common import map_pieces, mix, utf8
 
-#: A cut at one in this many places; bytes of keys and ids that a worker's cache holds before it is emptied.
+#: A cut at one in this many places; bytes of keys and ids that a worker's cache holds.
 CHUNK_BYTES, CACHE_BYTES = 1024, 48 << 20
 HASH_BYTES = 16
+#: A text is cut only if its joins are expected to be this share of it at most.
+SPARED = 0.25
 #: Chunks that the library gets at once.
 ENCODE_ROWS = 256
 _SPACES = np.zeros(256, dtype=bool)
@@ -47,6 +51,16 @@ def _byte_of_symbol() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+def chunks_hold(file: dict) -> bool:
+    """Whether a tokenizer file keeps the rules that the sure boundaries rest on: byte-level words by the usual
+    pattern, nothing normalised, no merging left to chance, no added token that holds or eats a space."""
+    words = file.get("pre_tokenizer") or {}
+    plain = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space", True)
+    added = all(" " not in t["content"] and not t.get("lstrip") and not t.get("rstrip") and not t.get("single_word") for t in file.get("added_tokens") or [])
+    model = file.get("model") or {}
+    return plain and added and file.get("normalizer") is None and model.get("type", "BPE") == "BPE" and not model.get("dropout")
+
+
 class Codec:
     """A tokenizer file with chunk reuse; one a worker."""
 
@@ -55,6 +69,8 @@ class Codec:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.divisible = chunks_hold(json.load(f))
         self.library.no_truncation()
         self.library.no_padding()
         symbols = _byte_of_symbol()
@@ -65,11 +81,15 @@ class Codec:
             self.bytes_of[i] = token.encode() if token in added else bytes(symbols[c] for c in token)
         self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self.cache: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        self.older: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         self.held = 0
         self.encoded = self.reused = self.repaired = self.grown = 0
 
     def _encode(self, wanted: list[bytes]) -> None:
         """Puts what is not in the cache there: ids and the byte at which each token ends."""
+        for w in wanted:
+            if w not in self.cache and w in self.older:
+                self.cache[w] = self.older.pop(w)
         fresh = list(dict.fromkeys(w for w in wanted if w not in self.cache))
         self.reused += len(wanted) - len(fresh)
         self.encoded += len(fresh)
@@ -82,14 +102,15 @@ class Codec:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of every text."""
-        if self.held > CACHE_BYTES:
-            self.cache.clear()
-            self.held = 0
+        if self.held > CACHE_BYTES // 2:  # what isn't met again before the next turn is forgotten
+            self.older, self.cache, self.held = self.cache, {}, 0
         cuts, sure = cut_places(data), sure_places(data)
         raw = data.tobytes()
         plans, wanted = [], []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             inner = cuts[np.searchsorted(cuts, a, "right") : np.searchsorted(cuts, b, "left")].tolist()
+            if inner and not self._divides(sure, a, b, len(inner)):
+                inner = []
             edges = [a, *inner, b]
             safe = [a, *sure[np.searchsorted(sure, a, "right") : np.searchsorted(sure, b, "left")].tolist(), b]
             chunks = [raw[x:y] for x, y in zip(edges, edges[1:], strict=False)] if b > a else []
@@ -107,6 +128,14 @@ class Codec:
         self._encode(wanted)
         return [self._joined(raw, *plan) for plan in plans]
 
+    def _divides(self, sure: np.ndarray, a: int, b: int, cuts: int) -> bool:
+        """Whether chunks save work: joins reach from one sure boundary to the next, and are short where those are dense."""
+        if not self.divisible:
+            return False
+        places = np.concatenate([[a], sure[np.searchsorted(sure, a, "right") : np.searchsorted(sure, b, "left")], [b]])
+        gaps = np.diff(places).astype(np.float64)
+        return cuts * float((gaps * gaps).sum()) / (b - a) <= SPARED * (b - a)
+
     def _joined(self, raw: bytes, a: int, b: int, edges: list[int], safe: list[int], chunks: list[bytes], spans: list[tuple[int, int]]) -> np.ndarray:
         if not chunks:
             return np.zeros(0, dtype=np.uint32)
