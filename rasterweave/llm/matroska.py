@@ -198,7 +198,7 @@ def demux(data: bytes) -> Media:
         if kind == EBML:
             for k, _, a, e in elements(data, at, end):
                 if k == DOC_TYPE:
-                    out.doc_type = data[a:e].rstrip(b"\0").decode()
+                    out.doc_type = data[a:e].rstrip(b"\0").decode(errors="replace")
         elif kind == SEGMENT:
             out.segment = at
             for part in elements(data, at, end, SEGMENT):
@@ -214,17 +214,19 @@ def _segment_part(data: bytes, out: Media, kind: int, start: int, at: int, end:
             if k == SCALE:
                 out.scale = _value(data, a, e)
     elif kind == TRACKS:
-        for _, _, a, e in elements(data, at, end):
+        for child, _, a, e in elements(data, at, end):
+            if child != TRACK:  # checksums and fillers stand among them
+                continue
             track: dict = {}
             for k, _, x, y in elements(data, a, e):
                 if k in (TRACK_NUMBER, TRACK_TYPE):
                     track["number" if k == TRACK_NUMBER else "type"] = _value(data, x, y)
                 elif k == CODEC:
-                    track["codec"] = data[x:y].decode()
+                    track["codec"] = data[x:y].rstrip(b"\0").decode(errors="replace")
                 elif k == AUDIO:
                     for q, _, u, v in elements(data, x, y):
                         if q == RATE:
-                            track["rate"] = struct.unpack(">d" if v - u == 8 else ">f", data[u:v])[0]
+                            track["rate"] = {8: struct.Struct(">d"), 4: struct.Struct(">f")}[v - u].unpack(data[u:v])[0] if v - u in (4, 8) else 0.0
                         elif q in (CHANNELS, DEPTH):
                             track["channels" if q == CHANNELS else "depth"] = _value(data, u, v)
             out.tracks.append(track)
@@ -243,7 +245,9 @@ def _segment_part(data: bytes, out: Media, kind: int, start: int, at: int, end:
                     if q == BLOCK:
                         _add_block(data, out, number, base, x, y, key)
     elif kind == CUES:
-        for _, _, a, e in elements(data, at, end):
+        for child, _, a, e in elements(data, at, end):
+            if child != CUE:
+                continue
             when = 0
             for k, _, x, y in elements(data, a, e):
                 if k == CUE_TIME:
