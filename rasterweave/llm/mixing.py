@@ -2,8 +2,9 @@
 
 Every document gets a random key, the MD5 of a seed and its doc_id. Keys are uniform, so their leading
 hex digits cut each source into ranges of equal size without sampling: a range is a window partition, a
-running sum inside it is added to the sum of the ranges before it (a small table), which is the prefix
-sum over the whole source in key order. A source's budget is whole epochs plus a rest; documents before
+running sum inside it is added to the sum of the ranges before it (summed in groups of ranges, then inside
+a group), which is the prefix sum over the whole source in key order. Only the table of sources, one row
+each, is ordered as a whole. A source's budget is whole epochs plus a rest; documents before
 the rest's cut are taken once more, and the one that holds the cut is taken in part (``cut="word"``) or
 to the nearer side (``cut="document"``).
 
@@ -18,15 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterweave.llm.common import saved, shared_folder
+from rasterweave.llm.common import saved, shared_folder, small
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
 MOST_EPOCHS = 2
 #: Documents of a source that one window partition should hold.
 RANGE_ROWS = 2_000
-#: More sources than this are joined by shuffle; fewer are broadcast, a few hundred bytes each.
-BROADCAST_SOURCES = 10_000
+#: Digits of a range that stand for its place in a group of ranges.
+GROUP_DIGITS = 3
 
 
 def word_count(text: Column) -> Column:
@@ -67,31 +68,35 @@ def _keyed(docs: DataFrame, seed: str, *more: Column) -> DataFrame:
 
 def shares(docs: DataFrame, seed: str = "mix", cut: str = "word") -> DataFrame:
     """doc_id, size, source_size, target, taken: one row a document."""
-    return _shares(_keyed(docs, seed), cut).select("doc_id", "size", "source_size", "target", "taken")
+    folder = shared_folder(docs.sparkSession)
+    sized = saved(_keyed(docs, seed), folder, "sized")  # texts are read once
+    return _shares(sized, sized, cut, folder).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def _small(table: DataFrame, bound_on: int) -> DataFrame:
-    """Marks a table for broadcast if it is known to have few enough rows."""
-    return F.broadcast(table) if bound_on <= BROADCAST_SOURCES else table
-
-
-def _shares(sized: DataFrame, cut: str) -> DataFrame:
+def _shares(sized: DataFrame, rows: DataFrame, cut: str, folder: str) -> DataFrame:
+    """``rows`` (the columns of ``sized`` and any others) with source_size, target and taken."""
     if cut not in ("word", "document"):
         raise ValueError("cut is word or document")
-    folder = shared_folder(sized.sparkSession)
     sources = saved(_sources(sized), folder, "sources")
-    found = sources.agg(F.count("*").alias("n"), F.sum("documents").alias("d")).first()
     # Ranges a source: a power of 16 that leaves about RANGE_ROWS documents in each.
     digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.greatest(F.lit(1.0), F.col("documents") / RANGE_ROWS)))).cast("int")
-    planned = sources.select(F.col("source").alias("planned"), "source_size", "target", digits.alias("digits"))
-    placed = sized.join(_small(planned, found["n"]), F.col("source").eqNullSafe(F.col("planned"))).withColumn("range", F.expr("substring(key, 1, digits)"))
-    sums = placed.groupBy("planned", "range").agg(F.sum("size").alias("range_size"))
-    earlier = Window.partitionBy("planned").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("planned").alias("o_source"), F.col("range").alias("o_range"), F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("offset"))
+    planned = small(sources.select(F.col("source").alias("planned"), "source_size", "target", digits.alias("digits")), 128, "planned")
+
+    def placed(table: DataFrame) -> DataFrame:
+        return table.join(planned, F.col("source").eqNullSafe(F.col("planned"))).withColumn("range", F.expr("substring(key, 1, digits)"))
+
+    # Sums of earlier ranges in two steps, so that no task holds all ranges of a source: whole groups first, then inside the group.
+    group = F.expr(f"substring(range, 1, greatest(0, digits - {GROUP_DIGITS}))")
+    sums = saved(placed(sized).groupBy("planned", "range", "digits").agg(F.sum("size").alias("range_size")).withColumn("group", group), folder, "ranges")
+    earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy(F.col("planned").alias("g_source"), F.col("group").alias("g_group")).agg(F.sum("range_size").alias("group_size"))
+    groups = groups.withColumn("g_offset", F.coalesce(F.sum("group_size").over(earlier("g_source", "g_group")), F.lit(0)))
+    inner = sums.withColumn("offset", F.coalesce(F.sum("range_size").over(earlier("planned", "group", "range")), F.lit(0)))
+    both = inner.join(groups, F.col("planned").eqNullSafe(F.col("g_source")) & (F.col("group") == F.col("g_group")))
+    offsets = saved(both.select(F.col("planned").alias("o_source"), F.col("range").alias("o_range"), (F.col("offset") + F.col("g_offset")).alias("offset")), folder, "offsets")
     inside = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = placed.withColumn("upto", F.sum("size").over(inside))
-    ranges = found["n"] + 16 * (found["d"] or 0) // RANGE_ROWS  # no more than these
-    whole = running.join(_small(offsets, ranges), F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") == F.col("o_range")))
+    running = placed(rows).withColumn("upto", F.sum("size").over(inside))
+    whole = running.join(small(offsets, 64, "o_source", "o_range"), F.col("source").eqNullSafe(F.col("o_source")) & (F.col("range") == F.col("o_range")))
     before = F.col("offset") + F.col("upto") - F.col("size")
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
@@ -107,6 +112,7 @@ def mixture(docs: DataFrame, seed: str = "mix") -> DataFrame:
     Documents without words take part in no budget and stay once.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    taken = _shares(_keyed(docs, seed, row), "document")
+    folder = shared_folder(docs.sparkSession)
+    taken = _shares(saved(_keyed(docs, seed), folder, "sized"), _keyed(docs, seed, row), "document", folder)
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size"))).cast("int")
     return taken.withColumn("__copies", copies).where("__copies > 0").select("__row", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select("__row.*")
