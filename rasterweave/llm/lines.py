@@ -273,15 +273,17 @@ def _with_drops(docs: DataFrame, drops: DataFrame) -> DataFrame:
     return packed.join(small(drops, 48, "drop", "gone"), "doc_id", "left")
 
 
-def deduplicated(docs: DataFrame, folder: str | None = None, least: int = MIN_BYTES) -> DataFrame:
-    """The documents with the lines that stay as their text; a document may end up empty but is not dropped.
+def deduplicated(docs: DataFrame, folder: str | None = None, least: int = MIN_BYTES, emptied: bool = True) -> DataFrame:
+    """The documents with the lines that stay as their text.
 
-    A column ``n_chars`` is set to the new length.
+    A document that loses all its lines that are not empty stays, or goes with ``emptied=False``. A column ``n_chars`` is set to the new length.
     """
     joined = _with_drops(docs, removals(docs, folder, least))
     goes = lambda k: F.coalesce(F.substring("gone", k + 1, F.lit(1)) == F.lit(b"1"), F.lit(False))
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, k: ~goes(k)), "\n")
     out = joined.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept))
+    if not emptied:
+        out = out.where(F.col("gone").isNull() | (F.btrim("text", F.lit(" \t\n\x0b\f\r")) != ""))
     new = {"text": F.col("text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("gone").isNull(), F.col("own.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
