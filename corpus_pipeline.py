@@ -14,13 +14,13 @@ from rasterweave.llm.common import saved, shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letter, or a score below the least) go."""
+    """Documents without a language (no letter, or a score below the least) go; without labels none does."""
     return langid.accepted(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines close to an earlier line go; every document stays, if need be with an empty text."""
-    return lines.deduplicated(docs, least=1)
+    """Lines close to an earlier line go; a document that loses all its lines is a copy of others and goes too."""
+    return lines.deduplicated(docs, least=1, emptied=False)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("encode", encode)]
 
-#: A trained network and a tokenizer decide rows, which SQL can't express; tests hold each stage against brute force.
+#: A trained network and a tokenizer decide rows, which SQL can't express; a test holds run() against plain Python.
 ORACLE_SQL = None
 
 

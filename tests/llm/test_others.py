@@ -54,6 +54,7 @@ def test_bpe_equals_library(spark, odd, nothing, monkeypatch):
     parts = [" ", "  ", "\n", "a", "é", "漢", "'s", "'ll", "12", "!", "<|endoftext|>", "<|endo", "　", "word", "😀", "\t", " the"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 200))) for _ in range(300)] + ["", "x" * 4000, "漢字" * 800, " " * 2000]
     monkeypatch.setattr(bpe, "CHUNK_BYTES", 7)
+    monkeypatch.setattr(bpe, "SPARED", float("inf"))  # every text is cut, so that joins are repaired everywhere
     for text, ids in zip(texts, codec.encode(*utf8(pa.array(texts))), strict=True):
         want = codec.library.encode(text, add_special_tokens=False).ids
         assert ids.tolist() == want and codec.decode(ids) == codec.library.decode(want, skip_special_tokens=False) == text
@@ -263,4 +264,132 @@ def test_pipeline(spark, odd):
         docs = out.cache()
         assert docs.count() > 0
     assert set(docs.columns) >= {"doc_id", "tokens"}
-    assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def plain_mix(rows):
+    """(doc_id, text, source) rows as often as the mix takes them: random order by key, whole epochs, then up to the nearer side of the cut."""
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sources = sorted({r[2] for r in rows}, key=lambda x: (x is None, x or ""))
+    size = {s: sum(words(r[1]) for r in rows if r[2] == s) for s in sources}
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    target, open_ = {}, set(sources)
+    while open_:
+        level = (1.5 * sum(size.values()) - sum(target.values())) / sum(weight[s] for s in open_)
+        full = {s for s in open_ if 2 * size[s] <= weight[s] * level}
+        target |= {s: 2.0 * size[s] for s in full} or {s: weight[s] * level for s in open_}
+        open_ -= full or open_
+    out = []
+    for s in sources:
+        budget, at = int(target[s] + 0.5), 0
+        epochs = budget // size[s] if size[s] else 0
+        for r in sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.md5(f"mix:{r[0]}".encode()).hexdigest()):
+            n = words(r[1])
+            left = max(0, min(n, budget - epochs * size[s] - at))
+            out += [r] * (1 if n == 0 else epochs + (2 * left >= n))
+            at += n
+    return out
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """The whole of run() on a small table; the network's verdicts are taken from the first query."""
+    import pyarrow.parquet as pq
+
+    from .test_dedup import close_lines, shingles
+
+    table = pq.read_table(f"{SF}/documents.parquet").slice(0, 120)
+    pq.write_table(table, str(tmp_path / "documents.parquet"))
+    rows = list(zip(*[table[c].to_pylist() for c in ("doc_id", "text", "source")], strict=True))
+    said = {r["doc_id"]: r for r in queries.queries()["op1_language_id"](spark, str(tmp_path)).collect()}
+    rows = [r for r in rows if said[r[0]]["lang_pred"] != "und" and said[r[0]]["score"] >= langid.LEAST_SCORE]
+    gone = close_lines(rows)
+    cut = {r[0]: r[1] if all((r[0], k) not in gone for k in range(r[1].count("\n") + 1)) else "\n".join(x for k, x in enumerate(r[1].split("\n")) if (r[0], k) not in gone) for r in rows}
+    rows = [(i, cut[i], s) for i, t, s in rows if cut[i] == t or cut[i].strip()]
+    sets, root = {r[0]: shingles(r[1]) for r in rows}, {r[0]: r[0] for r in rows}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    mixed = plain_mix([r for r in rows if root[r[0]] == r[0]])
+    codec = bpe.Codec(bpe.default_vocabulary())
+    want = sorted((i, tuple(codec.library.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in mixed)
+    got = sorted((r["doc_id"], tuple(r["tokens"])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want and len(gone) > 0 and len({i for i, _ in want}) < len(want)
+
+
+def test_language_fit_is_bounded(spark, odd, monkeypatch):
+    """One row that stands thousands of times is trained on once; without labels nothing is thrown away."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").where(~langid.held_out(F.col("doc_id")))
+    again = docs.unionByName(docs.where("text is not null").limit(1).select(F.col("doc_id"), "text", "lang", F.explode(F.array_repeat(F.lit(1), 3000)).alias("x")).drop("x"))
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda x, y, names, seed=7: seen.append((x.tobytes(), tuple(y), tuple(names))))
+    langid.fit(docs)
+    langid.fit(again)
+    assert seen[0] == seen[1]
+    monkeypatch.setattr(langid, "TRAIN_DOCS", 5)
+    langid.fit(again)
+    assert 0 < len(seen[2][1]) <= 5 * langid.TRAIN_WINDOWS * len(seen[2][2])
+    assert langid.accepted(odd.withColumn("lang", F.lit(None).cast("string"))).count() == len(odd_rows())
+
+
+def test_tokenizer_files_that_do_not_hold(tmp_path):
+    """Other pre-tokenizers, normalizers or tokens with spaces: texts are encoded whole, still as the library does."""
+    import json
+
+    with open(bpe.default_vocabulary(), encoding="utf-8") as f:
+        file = json.load(f)
+    assert bpe.chunks_hold(file)
+    text = ("Some words of a long text that is cut. Others follow it, and so on. " * 400).strip()
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": file["pre_tokenizer"] | {"use_regex": False}}, {"added_tokens": [*file["added_tokens"], {"id": len(file["model"]["vocab"]), "content": "of a", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False}]}):
+        assert not bpe.chunks_hold(file | change)
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(file | change), encoding="utf-8")
+        codec = bpe.Codec(str(path))
+        assert codec.encode(*utf8(pa.array([text])))[0].tolist() == codec.library.encode(text, add_special_tokens=False).ids
+    codec = bpe.Codec(bpe.default_vocabulary())
+    dense = "".join(random.Random(1).choice("漢字仮名交文") for _ in range(30_000))
+    assert codec.encode(*utf8(pa.array([dense])))[0].tolist() == codec.library.encode(dense, add_special_tokens=False).ids and codec.encoded == 1
+
+
+def test_licence_phrasings_not_trained_on():
+    """Held-out phrasings and foreign licences; SPDX tags behind comment marks; statements wrapped over lines."""
+    model = licenses.fit([f"the river {k} ran under the old bridge and on" for k in range(60)])
+    texts, labels = licenses.examples(31, 3, held=True)
+    found = {}
+    for k, family, _ in model.paragraphs(*licenses._hashed(texts)):
+        found.setdefault(k, set()).add(family)
+    known = [k for k, y in enumerate(labels) if y != licenses.UNKNOWN]
+    assert np.mean([labels[k] in found.get(k, ()) for k in known]) > 0.8
+    assert not [texts[k] for k, y in enumerate(labels) if k in found and found[k] != {y}]
+    for text, family in (("// SPDX-License-Identifier: MIT", "mit"), (" * SPDX-License-Identifier: GPL-2.0-only", "gpl"), ("GNU Free Documentation License", "gfdl"), ("Microsoft Public License", "ms-pl")):
+        assert [f for _, f, _ in model.paragraphs(*licenses._hashed([text]))] == [family]
+    assert not model.paragraphs(*licenses._hashed(["Apache Software Foundation terms"]))
+
+
+def test_wrapped_licences(spark):
+    notice = licenses.NOTICES["mit"][0].split()
+    wrapped = "\n".join(" * " + " ".join(notice[k : k + 5]) for k in range(0, len(notice), 5))
+    df = spark.createDataFrame([(1, f"/*\n{wrapped}\n */\nint main() {{}}"), (2, "Licensed under the\nMIT License and so on"), (3, "Licensed under the\n\nsea")], "doc_id long, text string")
+    model = licenses.fit([f"the river {k} ran under the old bridge and on" for k in range(60)])
+    got = {r["doc_id"]: (r["families"], r["hits"]) for r in licenses.scan(df, model).collect()}
+    assert got[1][0] == got[2][0] == "mit" and got[2][1] == "0:mit" and got[3] == ("", "")
+
+
+def test_matroska_of_other_writers(spark):
+    """Checksums and fillers among tracks and cues, and names that are not UTF-8."""
+    data = matroska.mux(matroska.payload_of(b"x" * 3000))
+    filler, crc = matroska._element(0xEC, b"\0" * 9), matroska._element(0xBF, b"abcd")
+    head = matroska._element(matroska.EBML, matroska._element(matroska.DOC_TYPE, b"matroska"))
+    parts = {kind: data[a:b] for kind, _, a, b in matroska.elements(data, matroska.demux(data).segment, len(data), matroska.SEGMENT)}
+    bodies = [(matroska.TRACKS, crc + filler + parts[matroska.TRACKS].replace(b"A_PCM/INT/LIT", b"A_PCM\xff\xfe/LITxx")), (matroska.CLUSTER, parts[matroska.CLUSTER]), (matroska.CUES, crc + parts[matroska.CUES] + filler)]
+    made = head + matroska._element(matroska.SEGMENT, b"".join(matroska._element(k, b) for k, b in bodies))
+    media = matroska.demux(made)
+    assert len(media.tracks) == len(media.cues) == 1 and media.tracks[0]["number"] == 1
+    assert b"".join(made[o : o + n] for _, _, _, o, n, _ in media.packets) == matroska.payload_of(b"x" * 3000)
+    df = spark.createDataFrame([(1, made), (2, made[:200]), (3, b"\x1a\x45\xdf\xa3" * 5), (4, None)], "doc_id long, media binary")
+    assert matroska.packets(df).where("doc_id = 1").count() == len(media.packets) and matroska.packets(df).where("doc_id > 2").count() == 0
+
+
+def test_pii_addresses_with_colons():
+    for text, found in (("client 2001:0db8:85a3:0000:0000:8a2e:0370:7334 connected", ["2001:0db8:85a3:0000:0000:8a2e:0370:7334"]), ("host fe80:0:0:0:202:b3ff:fe1e:8329 down", ["fe80:0:0:0:202:b3ff:fe1e:8329"]), ("mac 00:1a:2b:3c:4d:5e here", []), ("times 10:20:30:40:50:59 here", [])):
+        assert [text[a:b] for a, b, _ in pii.find(text)[1]] == found, text
