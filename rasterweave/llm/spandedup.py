@@ -39,7 +39,7 @@ from rasterweave.llm.suffixes import DEPTH, Scratch, sort_suffixes
 NAME_BYTES = 24
 REACH = DEPTH - NAME_BYTES + 1
 #: Text for each slot of names and each shard of runs.
-SLOT_BYTES, SHARD_BYTES = 32 << 20, 12 << 20
+SLOT_BYTES, SHARD_BYTES = 32 << 20, 3 << 20
 #: Bytes of runs that a task collects before it hands them on; a run with more places there is frequent.
 HELD_BYTES, FREQUENT = 16 << 20, 64
 #: Text for which the places of frequent runs are dealt one way more; ways at most.
@@ -365,7 +365,7 @@ def _decisions(texts: object, begin: np.ndarray, lengths: np.ndarray, lead: np.n
             stop = min(len(order), stop + (int(apart[0]) if len(apart) else SORTED_ROWS))
             if len(apart):
                 break
-        places = order[at:stop]
+        places = order[at:stop].astype(np.int64)
         run = np.searchsorted(offsets, places, "right") - 1
         inside = np.flatnonzero(offsets[run + 1] - 1 - places >= DEPTH)
         if len(inside):

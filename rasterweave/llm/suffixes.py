@@ -26,7 +26,7 @@ import numpy as np
 
 DEPTH = 50
 #: Bytes of waiting tuples that the queues of a level hold together.
-MEMORY = 8 << 20
+MEMORY = 2 << 20
 #: Tuples, or characters, that are taken at once; rare names are put together to buckets of this many suffixes.
 ROWS = 1 << 16
 #: A name that stands more often has a bucket of its own.
@@ -131,6 +131,9 @@ class Scratch:
         self.made += 1
         return np.memmap(os.path.join(self.folder, f"{self.made}"), dtype=kind, mode="w+", shape=(n,)).view(np.ndarray) if n else np.zeros(0, dtype=kind)
 
+    def places(self, n: int, upto: int) -> np.ndarray:
+        return self.array(n, "int32" if upto < 2**31 else "int64")
+
     def close(self) -> None:
         self.holder.cleanup()
 
@@ -214,7 +217,7 @@ class _Level:
             places = np.flatnonzero(is_s & (left > own)) + a
             file.write(places.astype(np.int64).tobytes())
             total += len(places)
-        out = self.scratch.array(total, "int64")
+        out = self.scratch.places(total, self.n)
         file.seek(0)
         for a in range(0, total, ROWS):
             out[a : a + ROWS] = np.frombuffer(file.read(8 * ROWS), dtype=np.int64)
@@ -475,9 +478,9 @@ class _Names:
             out[np.searchsorted(seeds, raw[:, 0])] = self.names - raw[:, 1] + 1
         return out
 
-    def order(self, scratch: Scratch) -> np.ndarray:
+    def order(self, scratch: Scratch, upto: int) -> np.ndarray:
         """Seeds in rising order, if their names differ."""
-        out = scratch.array(self.rows, "int64")
+        out = scratch.places(self.rows, upto)
         self.file.seek(0)
         at = self.rows
         while len(raw := np.frombuffer(self.file.read(16 * ROWS), dtype=np.int64).reshape(-1, 2)):
@@ -492,7 +495,7 @@ def _sorted(level: _Level, scratch: Scratch, top: bool, consume: Callable[[np.nd
 
     def unsorted(queue: Queue) -> None:
         for a in range(0, len(seeds), ROWS):
-            at = np.asarray(seeds[a : a + ROWS])
+            at = seeds[a : a + ROWS].astype(np.int64)
             char = level.text[at].astype(np.int64)
             queue.push(level.bucket(char), level.rows(at, char))
 
@@ -500,13 +503,14 @@ def _sorted(level: _Level, scratch: Scratch, top: bool, consume: Callable[[np.nd
     if len(seeds):
         level.induce(unsorted, GROUP, names)
     if names.names == names.rows:
-        order = names.order(scratch)
+        order = names.order(scratch, level.n)
     else:
         below = names.text(seeds, scratch)
+        names.file.close()
         if len(below) <= SMALL:
             order = seeds[_in_memory(below)]
         else:
-            order, at = scratch.array(len(seeds), "int64"), [len(seeds)]
+            order, at = scratch.places(len(seeds), level.n), [len(seeds)]
 
             def place(positions: np.ndarray, values: np.ndarray, is_seed: np.ndarray) -> None:
                 order[at[0] - len(positions) : at[0]] = seeds[positions][::-1]
@@ -518,7 +522,7 @@ def _sorted(level: _Level, scratch: Scratch, top: bool, consume: Callable[[np.nd
     def in_order(queue: Queue) -> None:
         before = np.zeros(0, dtype=np.int64)
         for a in range(0, len(order), ROWS):
-            at = np.asarray(order[a : a + ROWS])
+            at = order[a : a + ROWS].astype(np.int64)
             char = level.text[at].astype(np.int64)
             shared = 0
             if top:
@@ -533,7 +537,7 @@ def _sorted(level: _Level, scratch: Scratch, top: bool, consume: Callable[[np.nd
 def sort_suffixes(text: np.ndarray, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """All positions of ``text`` (uint8 from 1 up) in the order of their suffixes, and what each shares with the one before it, at most DEPTH bytes."""
     n = len(text)
-    order, shared, at = scratch.array(n, "int64"), scratch.array(n, "uint8"), [n, 0]
+    order, shared, at = scratch.places(n, n), scratch.array(n, "uint8"), [n]
     if not n:
         return order, shared
 
