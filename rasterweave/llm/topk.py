@@ -207,7 +207,7 @@ def _selected(queries: DataFrame, candidates: DataFrame, k: int, bound: int, sco
     # A grid for each length: every cell holds at most HELD_BLOCKS blocks of candidates and streams blocks of queries.
     asked = queries.groupBy("n").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("asked"))
     across = F.ceil(F.col("blocks") / HELD_BLOCKS)
-    wanted = F.ceil(F.lit(2 * shuffle_partitions(spark)) / across)
+    wanted = F.ceil(F.lit(shuffle_partitions(spark)) / across)
     grid = saved(blocks.groupBy("n").agg((F.max("block") + 1).alias("blocks")).join(asked, "n").select("n", across.cast("long").alias("across"), F.greatest(F.lit(1), F.least(wanted, "asked")).cast("long").alias("down")), folder, f"{name}-grid")
     grid = small(grid, 48)
     cells = grid.agg(F.sum(F.col("across") * F.col("down"))).first()[0] or 0
