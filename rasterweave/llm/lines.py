@@ -247,7 +247,8 @@ def removals(docs: DataFrame, folder: str | None = None, least: int = MIN_BYTES)
     every = map_pieces(texts, partial(_places, least=least), "doc_id long, line int, form long, check long")
     told = every.join(F.broadcast(common), ["form", "check"], "left")
     dealt = told.withColumn("deal", F.when(F.col("common").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("doc_id", "line"), F.lit(DEALT))).cast("int"))
-    rest = firsts.where(~often).select("form", "check", F.lit(0).alias("deal"), "first")
+    undealt = F.when(F.col("n") < 0, 1).otherwise(0)  # no literal: a constant key would be taken out of the join
+    rest = firsts.where(~often).select("form", "check", undealt.cast("int").alias("deal"), "first")
     gone = dealt.join(rest, ["form", "check", "deal"], "left").where(F.coalesce("common", "first") < F.struct("doc_id", "line"))
     drops = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("drop"))
     # Lines before a number that stay, then the one that goes: a string in time linear in the lines.
