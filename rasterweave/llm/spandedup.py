@@ -8,7 +8,8 @@ A byte goes if a string of 50 bytes covers it that also starts in a document wit
    there, so a name that stands everywhere sends one entry a batch).
 2. Runs whose name stands in two documents or more are cut out with their bytes and sent to the shard of
    their name; all other bytes can't repeat and are sent nowhere.
-3. A shard's distinct runs are one text on disk; its suffixes are ordered by external induced sorting
+3. A run that is the only one of its name is decided by its documents. All other distinct runs of a shard are
+   one text on disk; its suffixes are ordered by external induced sorting
    (:mod:`rasterweave.llm.suffixes`). Neighbours that share 50 bytes form a class; its smallest doc_id decides
    for every member whether the window goes: a run becomes stretches of windows with one deciding doc_id.
 4. Places of runs go with them, but those of frequent runs (boilerplate) are dealt over many tasks, and the
@@ -60,7 +61,10 @@ def window_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         return none, none, none, none.astype(np.uint64)
     words = np.ndarray((n - 7,), dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
     with np.errstate(over="ignore"):
-        least = mix(words[:-16] * np.uint64(0x9E3779B97F4A7C15) + words[8:-8] * np.uint64(0xC2B2AE3D27D4EB4F) + words[16:] * np.uint64(0x165667B19E3779F9))
+        least = np.zeros(n - NAME_BYTES + 1, dtype=np.uint64)
+        for k in range(0, NAME_BYTES, 8):
+            least = least * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(least)]
+        least = mix(least * np.uint64(0xC2B2AE3D27D4EB4F))
     span = 1
     while 2 * span <= REACH:
         least = np.minimum(least[:-span], least[span:])
@@ -201,7 +205,7 @@ class _Cut:
     def __init__(self, shards: int):
         self.shards = shards
         self.distinct: dict[bytes, int] = {}
-        self.held, self.shard, self.found = 0, [], []
+        self.held, self.shard, self.names, self.found = 0, [], [], []
 
     def add(self, batch: pa.RecordBatch) -> None:
         """doc_id, tag, text, found (names that repeat)."""
@@ -223,6 +227,9 @@ class _Cut:
         own = np.empty(len(distinct) - before, dtype=np.int64)
         own[index[new] - before] = shard[new]
         self.shard.append(own)
+        own = np.empty(len(distinct) - before, dtype=np.uint64)
+        own[index[new] - before] = names[new]
+        self.names.append(own)
         self.found.append((index, ids[owner], tags[owner], starts - offsets[owner]))
         self.held += int((ends - starts).sum()) + 40 * len(starts)
 
@@ -230,7 +237,7 @@ class _Cut:
         """Rows of (key, kind, runs, places): a shard's runs with their places, and places of frequent runs, dealt evenly."""
         if not self.found:
             return
-        runs, shard = list(self.distinct), np.concatenate(self.shard)
+        runs, shard, names = list(self.distinct), np.concatenate(self.shard), np.concatenate(self.names)
         index, ids, tags, starts = (np.concatenate(c) for c in zip(*self.found, strict=True))
         smallest = np.full(len(runs), np.iinfo(np.int64).max)
         np.minimum.at(smallest, index, ids)
@@ -260,9 +267,9 @@ class _Cut:
                 if is_hot:
                     out.append((at, PLACES, _columns(press, (marks[own].ravel(), "u1")), body))
                 else:
-                    head = _columns(press, (marks[own].ravel(), "u1"), (lengths[own], "<u4"), (smallest[own], "<i8"), (frequent[own], "u1"), (np.frombuffer(b"".join([runs[k] for k in own.tolist()]), dtype=np.uint8), "u1"))
+                    head = _columns(press, (marks[own].ravel(), "u1"), (names[own], "<u8"), (lengths[own], "<u4"), (smallest[own], "<i8"), (frequent[own], "u1"), (np.frombuffer(b"".join([runs[k] for k in own.tolist()]), dtype=np.uint8), "u1"))
                     out.append((at, RUNS, head, body))
-        self.distinct, self.held, self.shard, self.found = {}, 0, [], []
+        self.distinct, self.held, self.shard, self.names, self.found = {}, 0, [], [], []
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "kind", "runs", "places"])
 
 
@@ -306,14 +313,14 @@ def _judge(parts: int, fan: int):
                         sub = int(mix(np.array([zlib.crc32(place)], dtype=np.uint64))[0] % np.uint64(fan))
                         yield _judged([key * fan + sub], [PLACES], [runs], [place])
                         continue
-                    marks, lengths, smallest, frequent, text = _read_columns(runs, "V16", "<u4", "<i8", "u1", "u1")
-                    columns.append((marks, lengths, smallest, frequent))
+                    *head, text = _read_columns(runs, "V16", "<u8", "<u4", "<i8", "u1", "u1")
+                    columns.append(head)
                     texts.write(text.tobytes())
                     places.write(place)
                     sizes.append((len(marks), len(place)))
             if not sizes:
                 return
-            marks, lengths, smallest, frequent = (np.concatenate(c) for c in zip(*columns, strict=True))
+            marks, names, lengths, smallest, frequent = (np.concatenate(c) for c in zip(*columns, strict=True))
             del columns
             halves = marks.view("<u8").reshape(-1, 2)
             order = np.lexsort((halves[:, 1], halves[:, 0]))
@@ -323,7 +330,18 @@ def _judge(parts: int, fan: int):
             lead = order[new]  # one row for each distinct run
             least = np.minimum.reduceat(smallest[order], np.flatnonzero(new))
             hot = np.maximum.reduceat(frequent[order], np.flatnonzero(new)) > 0
-            head, when, who = _decisions(texts, np.cumsum(lengths, dtype=np.int64) - lengths, lengths, lead, least, scratch)
+            # A window stands in runs of its name only: where a name has one run, that run's documents are the window's.
+            _, of, runs_of = np.unique(names[lead], return_inverse=True, return_counts=True)
+            several = np.flatnonzero(runs_of[of] > 1)
+            counts, when, who = np.ones(len(lead), dtype=np.int64), np.zeros(len(lead), dtype=np.int64), least
+            if len(several):
+                inner, inner_when, inner_who = _decisions(texts, np.cumsum(lengths, dtype=np.int64) - lengths, lengths, lead[several], least[several], scratch)
+                counts[several] = np.diff(inner)
+                first = np.cumsum(counts) - counts
+                at = np.repeat(first[several] - inner[:-1], counts[several]) + np.arange(inner[-1])
+                when, who = np.zeros(int(counts.sum()), dtype=np.int64), np.repeat(least, counts)
+                when[at], who[at] = inner_when, inner_who
+            head = np.concatenate([[0], np.cumsum(counts)])
             size = lengths[lead].astype(np.int64)
             if hot.any():
                 press, own = zstandard.ZstdCompressor(level=1), np.flatnonzero(hot)

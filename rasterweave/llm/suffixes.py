@@ -32,7 +32,7 @@ ROWS = 1 << 16
 #: A name that stands more often has a bucket of its own.
 FREQUENT = 4096
 #: Texts of names up to this length are sorted in memory.
-SMALL = 1 << 12
+SMALL = 1 << 17
 POSITION, BEFORE, TAG, CHAR = 0, 1, 2, 3
 ORDER, GROUP, PREFIX = "order", "group", "prefix"
 
@@ -51,8 +51,10 @@ class Queue:
         """Adds tuples in their order; ``buckets`` need not be in order."""
         if not len(rows):
             return
+        if len(self.parts) <= 1 << 16:  # sorted by digits
+            buckets = buckets.astype(np.uint16)
         order = np.argsort(buckets, kind="stable")
-        buckets, rows = buckets[order], rows[order]
+        buckets, rows = buckets[order], np.take(rows, order, axis=0)
         edges = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
         for b, x, y in zip(buckets[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(rows)], strict=True):
             self.parts[b].append(rows[x:y].copy())
@@ -168,6 +170,8 @@ class _Level:
         self.count = 64 // int(self.bits)
         self.mask = np.uint64((1 << int(self.bits)) - 1)
         self.width = 3 if self.plain else 4
+        # Eight bytes as one number, the last of them lowest.
+        self.words = np.ndarray((self.n - 7,), dtype=">u8", buffer=text, strides=(1,)) if text.dtype == np.uint8 and self.n >= 8 and text.flags.c_contiguous else None
 
     def bucket(self, chars: np.ndarray) -> np.ndarray:
         if self.plain:  # every character has its own bucket
@@ -189,10 +193,14 @@ class _Level:
             bare = bare[np.argsort(rows[bare, POSITION], kind="stable")]
             at = rows[bare, POSITION] - 1
             found = np.zeros(len(bare), dtype=np.uint64)
-            for k in range(self.count):
-                char = self.text[np.maximum(at - k, 0)].astype(np.uint64)
-                char[at < k] = 0
-                found |= char << (self.bits * np.uint64(k))
+            far = at >= 7 if self.words is not None else np.zeros(len(at), dtype=bool)
+            if far.any():
+                found[far] = self.words[at[far] - 7]
+            near = np.flatnonzero(~far)
+            for k in range(self.count if len(near) else 0):
+                char = self.text[np.maximum(at[near] - k, 0)].astype(np.uint64)
+                char[at[near] < k] = 0
+                found[near] |= char << (self.bits * np.uint64(k))
             carried[bare] = found
         return (carried & self.mask).astype(np.int64)
 
@@ -420,12 +428,9 @@ def _in_memory(text: np.ndarray) -> np.ndarray:
     rank, k = np.asarray(text).astype(np.int64), 1
     while True:
         second = np.append(rank[k:], np.zeros(min(k, len(rank)), dtype=np.int64))
-        order = np.lexsort((second, rank))
-        new = np.concatenate([[True], (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])])
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.cumsum(new)
-        if new.all():
-            return order
+        rank = _dense(rank * (int(rank.max()) + 1) + second) + 1
+        if rank.max() == len(rank):
+            return np.argsort(rank)
         k *= 2
 
 
