@@ -317,7 +317,7 @@ def _judge(parts: int, fan: int):
                     columns.append(head)
                     texts.write(text.tobytes())
                     places.write(place)
-                    sizes.append((len(marks), len(place)))
+                    sizes.append((len(head[0]), len(place)))
             if not sizes:
                 return
             marks, names, lengths, smallest, frequent = (np.concatenate(c) for c in zip(*columns, strict=True))
