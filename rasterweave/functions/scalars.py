@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,9 +13,34 @@ EXEC_MODES = ("normal", "queue", "mpi")
 BACKENDS = ("CPU", "GPU")
 LOG_TAGS = ("QPOP", "QPUSH", "READER", "WORKER", "WRITER")
 
-#: Two-sided 95 % quantiles of Student's t by degrees of freedom (statistical constants); beyond the table an expansion in 1/n is used.
-T_975 = (12.706205, 4.302653, 3.182446, 2.776445, 2.570582, 2.446912, 2.364624, 2.306004, 2.262157, 2.228139, 2.200985, 2.178813, 2.160369, 2.144787, 2.131450, 2.119905, 2.109816, 2.100922, 2.093024, 2.085963, 2.079614, 2.073873, 2.068658, 2.063899, 2.059539, 2.055529, 2.051831, 2.048407, 2.045230, 2.042272)
 Z_975 = 1.959963984540054
+#: Degrees of freedom up to which quantiles are tabled.
+TABLED = 200
+
+
+def _t_inside(t: float, df: int) -> float:
+    """P(-t < T < t), by the finite series for whole degrees of freedom."""
+    angle = math.atan(t / math.sqrt(df))
+    sine, square = math.sin(angle), math.cos(angle) ** 2
+    odd = df % 2
+    term = math.cos(angle) if odd else 1.0
+    total = term if df > 1 else 0.0
+    for k in range(2 + odd, df - 1, 2):
+        term *= square * (k - 1) / k
+        total += term
+    return 2 / math.pi * (angle + sine * total) if odd else sine * total
+
+
+def t_975(df: int) -> float:
+    """The 0.975 quantile of Student's t, by bisection."""
+    low, high = 1.0, 20.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if _t_inside(middle, df) < 0.95 else (low, middle)
+    return (low + high) / 2
+
+
+T_975 = tuple(t_975(df) for df in range(1, TABLED + 1))
 
 
 def to_byte(acc: Column, factor: float, bias: float) -> Column:
@@ -51,7 +78,10 @@ def elapsed_label(seconds: Column) -> Column:
 def t_quantile(df: Column) -> Column:
     """0.975 quantile of Student's t; null below one degree of freedom."""
     z = Z_975
-    far = F.lit(z) + F.lit((z**3 + z) / 4) / df + F.lit((5 * z**5 + 16 * z**3 + 3 * z) / 96) / (df * df)
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    far = F.lit(z)
+    for k, term in enumerate(terms, 1):
+        far = far + F.lit(term) / F.pow(df.cast("double"), F.lit(float(k)))
     table = F.array(*[F.lit(t) for t in T_975])
     return F.when(df < 1, None).when(df <= len(T_975), F.element_at(table, F.greatest(F.lit(1), F.least(F.lit(len(T_975)), df.cast("int"))))).otherwise(far)
 

@@ -64,9 +64,11 @@ def _add_row(acc: np.ndarray, line: np.ndarray, weights: np.ndarray, width: int)
                 acc += term
 
 
-def saturate(acc: np.ndarray, kernel: Filter) -> np.ndarray:
-    """round half away from zero, clamp, cast; the scaling is in double as the definition says."""
+def saturate(acc: np.ndarray, kernel: Filter, rounding: str = "half_away") -> np.ndarray:
+    """round half away from zero (or not at all), clamp, cast; the scaling is in double as the definition says."""
     scaled = acc.astype(np.float64) * kernel.factor + kernel.bias
+    if rounding == "truncate":
+        return np.clip(scaled, 0, 255).astype(np.uint8)
     return np.clip(np.copysign(np.floor(np.abs(scaled) + 0.5), scaled), 0, 255).astype(np.uint8)
 
 
@@ -82,11 +84,11 @@ def median(padded: np.ndarray, size: int, rows: int, width: int) -> np.ndarray:
     return out
 
 
-def filter_band(band: np.ndarray, kernel: Filter, rows: int) -> np.ndarray:
+def filter_band(band: np.ndarray, kernel: Filter, rows: int, rounding: str = "half_away") -> np.ndarray:
     """``band`` holds ``rows`` rows and ``kernel.halo`` rows above and below; columns are padded here."""
     width = band.shape[1]
     wrap = kernel.taps is None
     padded = pad_columns(band, kernel.halo, wrap)
     if wrap:
         return median(padded, kernel.size, rows, width)
-    return saturate(correlate(padded, kernel, rows, width), kernel)
+    return saturate(correlate(padded, kernel, rows, width), kernel, rounding)

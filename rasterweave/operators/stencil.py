@@ -21,6 +21,8 @@ from rasterweave.operators.kernels import filter_band
 from rasterweave.sources.raster import CHANNELS, PIXEL_SCHEMA, from_rows, to_rows, with_dimensions
 
 ENGINES = ("auto", "relational", "separable", "rowarray", "tile")
+#: How a scaled sum becomes a byte: halves away from zero, or cut off as device kernels do.
+FINISH = {"half_away": to_byte, "truncate": to_byte_truncated}
 
 
 def _resolve(kernel: str | Filter) -> Filter:
@@ -34,17 +36,19 @@ def apply_filter(pixels: DataFrame, kernel: str | Filter, engine: str = "auto",
     kernel = _resolve(kernel)
     if engine not in ENGINES:
         raise ValueError(f"unknown engine {engine!r}; there are {', '.join(ENGINES)}")
+    if rounding not in FINISH:
+        raise ValueError(f"unknown rounding {rounding!r}; there are {', '.join(FINISH)}")
     if kernel.taps is not None and kernel.is_identity():
         return pixels.select("img", "y", "x", *CHANNELS)
     engine = choose_engine(kernel, height, width) if engine == "auto" else engine
     if engine == "tile":
-        return filter_tiles(pixels, kernel, height, width)
+        return filter_tiles(pixels, kernel, height, width, rounding=rounding)
     if kernel.taps is None:
         return median_relational(pixels, kernel.size, height, width)
     if engine == "separable":
-        return convolve_separable(pixels, kernel, height, width)
+        return convolve_separable(pixels, kernel, rounding)
     if engine == "rowarray":
-        return convolve_rowarray(pixels, kernel)
+        return convolve_rowarray(pixels, kernel, rounding)
     return convolve_relational(pixels, kernel, height, width, rounding)
 
 
@@ -72,7 +76,7 @@ def convolve_relational(pixels: DataFrame, kernel: Filter, height: int | None =
     aimed = spread.select("img", "height", "width", (F.col("py") - F.col("t.dy")).alias("oy"), (F.col("px") - F.col("t.dx")).alias("ox"), *[(F.col(c) * F.col("t.w")).alias(c) for c in CHANNELS])
     inside = aimed.where((F.col("oy") >= 0) & (F.col("oy") < F.col("height")) & (F.col("ox") >= 0) & (F.col("ox") < F.col("width")))
     summed = inside.groupBy("img", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(*[F.sum(c).alias(c) for c in CHANNELS])
-    finish = to_byte_truncated if rounding == "truncate" else to_byte
+    finish = FINISH[rounding]
     return summed.select("img", "y", "x", *[finish(F.col(c), kernel.factor, kernel.bias).alias(c) for c in CHANNELS])
 
 
@@ -117,17 +121,17 @@ def _window_pass(pixels: DataFrame, weights: np.ndarray, group: str, along: str)
     return pixels.select("img", "y", "x", *exprs)
 
 
-def convolve_separable(pixels: DataFrame, kernel: Filter, height: int | None = None, width: int | None = None) -> DataFrame:
+def convolve_separable(pixels: DataFrame, kernel: Filter, rounding: str = "half_away") -> DataFrame:
     """Two one-dimensional passes and a single rounding; only for kernels of rank one."""
     parts = kernel.separated()
     if parts is None:
         raise ValueError(f"{kernel.code} is not separable")
     across = _window_pass(pixels, parts[1], "y", "x")
     both = _window_pass(across, parts[0], "x", "y")
-    return both.select("img", "y", "x", *[to_byte(F.col(c), kernel.factor, kernel.bias).alias(c) for c in CHANNELS])
+    return both.select("img", "y", "x", *[FINISH[rounding](F.col(c), kernel.factor, kernel.bias).alias(c) for c in CHANNELS])
 
 
-def convolve_rowarray(pixels: DataFrame, kernel: Filter) -> DataFrame:
+def convolve_rowarray(pixels: DataFrame, kernel: Filter, rounding: str = "half_away") -> DataFrame:
     """Neighbour rows by lag/lead, horizontal taps by array functions; no Python worker."""
     rows = to_rows(pixels)
     order = Window.partitionBy("img").orderBy("y")
@@ -145,7 +149,7 @@ def convolve_rowarray(pixels: DataFrame, kernel: Filter) -> DataFrame:
             for dy, dx, w in kernel.nonzero():
                 where = F.greatest(F.lit(0), F.least(F.col("width") - 1, x + dx))
                 total = total + F.get(F.col(f"{c}_{dy + p}"), where) * w
-            return to_byte(total, kernel.factor, kernel.bias)
+            return FINISH[rounding](total, kernel.factor, kernel.bias)
 
         return F.transform(F.sequence(F.lit(0), F.col("width") - 1), at)
 
@@ -162,7 +166,7 @@ def to_bands(pixels: DataFrame, rows: int, halo: int, wrap: bool, height: int |
     return shown.withColumn("band", F.explode(F.sequence(lowest.cast("int"), highest.cast("int"))))
 
 
-def filter_tiles(pixels: DataFrame, kernel: str | Filter, height: int | None = None, width: int | None = None, band_rows: int = 64) -> DataFrame:
+def filter_tiles(pixels: DataFrame, kernel: str | Filter, height: int | None = None, width: int | None = None, band_rows: int = 64, rounding: str = "half_away") -> DataFrame:
     """The tile engine on pixel rows: one group a band, so a task holds ``band_rows`` rows and halos."""
     kernel = _resolve(kernel)
     bands = to_bands(pixels, band_rows, kernel.halo, kernel.taps is None, height, width)
@@ -174,7 +178,7 @@ def filter_tiles(pixels: DataFrame, kernel: str | Filter, height: int | None = N
         n = min(band_rows, total - y0)
         block = np.zeros((n + 2 * kernel.halo, wide, 3), dtype=np.uint8)
         block[pdf["py"].to_numpy() - y0 + kernel.halo, pdf["x"].to_numpy()] = pdf[list(CHANNELS)].to_numpy(dtype=np.uint8)
-        out = filter_band(block, kernel, n)
+        out = filter_band(block, kernel, n, rounding)
         y, x = np.divmod(np.arange(n * wide), wide)
         flat = out.reshape(-1, 3).astype(np.int32)
         return pd.DataFrame({"img": img, "y": (y + y0).astype(np.int32), "x": x.astype(np.int32), "b": flat[:, 0], "g": flat[:, 1], "r": flat[:, 2]})
@@ -182,7 +186,7 @@ def filter_tiles(pixels: DataFrame, kernel: str | Filter, height: int | None = N
     return bands.groupBy("img", "band").applyInPandas(one, PIXEL_SCHEMA)
 
 
-def filter_bands(bands: DataFrame, kernel: str | Filter) -> DataFrame:
+def filter_bands(bands: DataFrame, kernel: str | Filter, rounding: str = "half_away") -> DataFrame:
     """The tile engine on binary bands (as the ``bmp`` source reads them): no shuffle at all."""
     kernel = _resolve(kernel)
 
@@ -193,7 +197,7 @@ def filter_bands(bands: DataFrame, kernel: str | Filter) -> DataFrame:
                 if halo != kernel.halo:
                     raise ValueError(f"{kernel.code} needs a halo of {kernel.halo} rows; the band has {halo}")
                 block = np.frombuffer(data, dtype=np.uint8).reshape(n + 2 * halo, width, 3)
-                done.append(filter_band(block, kernel, int(n)).tobytes())
+                done.append(filter_band(block, kernel, int(n), rounding).tobytes())
             yield pdf.assign(data=done, halo_top=np.int32(0))
 
     return bands.mapInPandas(each, bands.schema)

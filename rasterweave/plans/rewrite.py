@@ -9,7 +9,7 @@ SCATTER_LIMIT = 20_000_000
 
 
 def choose_engine(kernel: Filter, height: int | None, width: int | None) -> str:
-    """Identity is removed by the caller; otherwise small known rasters scatter, all else is tiled."""
+    """Identity is removed by the caller; small known rasters scatter, all else is tiled. All engines give the same pixels."""
     if height is None or width is None:
         return "tile"
     taps = kernel.size**2 if kernel.taps is None else len(kernel.nonzero())

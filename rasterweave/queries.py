@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Callable
 
@@ -180,12 +181,21 @@ def _ci95(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(loganalytics.ci95_by(_log(spark, d), ["tag", "user_id"], "time"), ["mean", "ci95"])
 
 
+def _t_by_integration(df: int) -> float:
+    """The 0.975 quantile of Student's t found another way: Simpson's rule over t = sqrt(df) * tan(angle), then secants."""
+    total = lambda a, n=2000: a / n / 3 * sum((1 if k in (0, n) else 4 if k % 2 else 2) * math.cos(a * k / n) ** (df - 1) for k in range(n + 1))
+    wanted = 0.95 * math.sqrt(math.pi) / 2 * math.exp(math.lgamma(df / 2) - math.lgamma((df + 1) / 2))
+    low, high = 0.0, math.pi / 2
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (middle, high) if total(middle) < wanted else (low, middle)
+    return math.sqrt(df) * math.tan(low)
+
+
 def _ci95_sql() -> str:
-    t = ", ".join(str(v) for v in scalars.T_975)
-    z = scalars.Z_975
-    far = f"({z} + {(z**3 + z) / 4} / (n - 1) + {(5 * z**5 + 16 * z**3 + 3 * z) / 96} / ((n - 1) * (n - 1)))"
-    return f"""{_LOG_SQL}, s as (select tag, user_id, count(time) n, avg(time) mean, stddev_samp(time) sd from l where user_id % 50 = 0 group by all)
-select tag, user_id, n, round(mean, 6) mean, round(case when n < 2 then cast(0 as double) else (case when n - 1 <= {len(scalars.T_975)} then cast(list_extract([{t}], (n - 1)::int) as double) else cast({far} as double) end) * sd / sqrt(n) end, 6) ci95 from s"""
+    t = ", ".join(str(_t_by_integration(df)) for df in range(1, 61))
+    return f"""{_LOG_SQL}, s as (select tag, user_id, count(time) n, avg(time) mean, stddev_samp(time) sd from l group by all)
+select tag, user_id, n, round(mean, 6) mean, round(case when n < 2 then cast(0 as double) when n > 61 then error('more than 60 degrees of freedom') else cast(list_extract([{t}], (n - 1)::int) as double) * sd / sqrt(n) end, 6) ci95 from s"""
 
 
 def _summary(spark: SparkSession, d: str) -> DataFrame:
@@ -193,8 +203,8 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reindex(spark: SparkSession, d: str) -> DataFrame:
-    means = loganalytics.mean_by(_log(spark, d).where("tag <> 'view'"), ["tag"], "time")
-    domain = spark.createDataFrame([(t,) for t in ("click", "purchase", "view", "error", "none")], "tag string")
+    means = loganalytics.mean_by(_log(spark, d), ["tag"], "time")
+    domain = spark.createDataFrame([(t,) for t in ("click", "purchase", "error", "absent", "none")], "tag string")
     return _rounded(loganalytics.reindex(means, domain, ["tag"]), ["mean"])
 
 
@@ -226,6 +236,76 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
     return pixels.withColumn("img", F.regexp_extract("img", r"qmt_out_(.*)\.bmp$", 1))
 
 
+def _bands(spark: SparkSession, d: str) -> DataFrame:
+    """The production path: files, row bands with halos by seek, the tile engine, images gathered and written, read again."""
+    top = shared_folder(spark)
+    bmp.register(spark)
+    bmp.write_images(bmp.pixels_to_images(_raster(spark, d, SIDE)), f"{top}/in")
+    done = bmp.bands_to_image(stencil.filter_bands(bmp.read_bands(spark, f"{top}/in", 9, get_filter("bb").halo), "bb"))
+    bmp.write_images(done, f"{top}/out")
+    pixels = bmp.images_to_pixels(bmp.read_images(spark, f"{top}/out", "FAILFAST"))
+    return pixels.withColumn("img", F.regexp_extract("img", r"([^/]*)\.bmp$", 1))
+
+
+def _same_name(spark: SparkSession, d: str) -> DataFrame:
+    """Images of one name in several folders stay apart from the scan to the sink."""
+    top = shared_folder(spark)
+    bmp.register(spark)
+    images = bmp.pixels_to_images(_raster(spark, d, SIDE))
+    bmp.write_images(images.withColumn("img", F.concat("img", F.lit("/same.bmp"))), f"{top}/in")
+    done = bmp.bands_to_image(stencil.filter_bands(bmp.read_bands(spark, f"{top}/in", 20, get_filter("sh").halo), "sh"))
+    bmp.write_images(done, f"{top}/out")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{top}/out")
+    pixels = bmp.images_to_pixels(bmp.decode_files(files, "FAILFAST"))
+    return pixels.withColumn("img", F.regexp_extract("img", r"/([^/]*)/same\.bmp$", 1))
+
+
+def _normal_passes(spark: SparkSession, d: str) -> DataFrame:
+    """Two passes of a run in normal mode on one image."""
+    from rasterweave.plans.config import RunConfig
+    from rasterweave.streaming.pipeline import run
+
+    top = shared_folder(spark)
+    bmp.register(spark)
+    bmp.write_images(bmp.pixels_to_images(_raster(spark, d, SIDE).where("img = 'R'")), f"{top}/in")
+    run(spark, RunConfig(("R.bmp",), "gb", block=10, passes=("gb", "sh")), f"{top}/in", f"{top}/out")
+    return bmp.images_to_pixels(bmp.read_images(spark, f"{top}/out", "FAILFAST")).withColumn("img", F.lit("R"))
+
+
+def _truncated(code: str, engine: str) -> Query:
+    return lambda spark, d: stencil.apply_filter(_raster(spark, d, SIDE), code, engine, SIDE, SIDE, "truncate")
+
+
+def _headers(spark: SparkSession, d: str) -> DataFrame:
+    """Headers, pixels and bytes of each image against its written form without the header's size, and against its shifted form."""
+    a, b = _shifted(spark, d)
+    files = {k: bmp.pixels_to_images(v, legacy_size=k == "legacy") for k, v in (("plain", a), ("legacy", a), ("shifted", b))}
+    decoded = {k: bmp.decode_files(v.withColumnRenamed("img", "path"), "FAILFAST") for k, v in files.items()}
+    made = None
+    for k in ("plain", "legacy", "shifted"):
+        one = compare.header_diff(decoded["plain"], decoded[k]).join(compare.same_bytes(files["plain"], files[k]).withColumnRenamed("img", "path"), "path").select(F.lit(k).alias("other"), "path", "same_header", "same_pixels", "same")
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+_HEADERS_SQL = f"""{_SHIFT_SQL}, s as (select img, max(y) my, max(x) mx from pixels group by img), t as (select img, max(y) my, max(x) mx from q group by img), n as (select img, count(*) c from d group by img)
+select 'plain' as other, img path, true same_header, true same_pixels, true same from s union all select 'legacy', img, false, true, false from s
+union all select 'shifted', s.img, s.my = t.my and s.mx = t.mx, coalesce(n.c, 0) = 0, coalesce(n.c, 0) = 0 from s join t on s.img = t.img left join n on n.img = s.img"""
+
+
+def _log_files(spark: SparkSession, d: str) -> DataFrame:
+    """Events through the queue log's sink and scan."""
+    from rasterweave.sources import runlog
+
+    path = f"{shared_folder(spark)}/log"
+    runlog.append_queue_timings(_log(spark, d).select(F.lit("by_row").alias("COMPUTE_MODE"), F.col("tag").alias("LOG_TAG"), F.col("time").alias("TIME")), path)
+    return runlog.read_queue_timings(spark, path).groupBy("COMPUTE_MODE", "LOG_TAG").agg(F.count("TIME").alias("n"), F.round(F.min("TIME"), 6).alias("least"), F.round(F.max("TIME"), 6).alias("most"))
+
+
+def _checker(spark: SparkSession, d: str) -> DataFrame:
+    return raster.checkerboard(spark, 40, 7).unionByName(raster.black(spark, 9))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below the shared checkpoint folder; a local one only where none is set."""
     import uuid
@@ -272,6 +352,16 @@ def queries() -> dict[str, Query]:
         "log_single_thread": _single_thread,
         "log_elapsed_label": _elapsed,
         "stream_pipeline": _stream,
+        "bmp_bands_bb": _bands,
+        "images_same_name": _same_name,
+        "compose_normal": _normal_passes,
+        "conv_gb_truncate": _truncated("gb", "relational"),
+        "conv_gb_truncate_tile": _truncated("gb", "tile"),
+        "conv_gb_truncate_separable": _truncated("gb", "separable"),
+        "conv_em_truncate_rowarray": _truncated("em", "rowarray"),
+        "header_and_byte_diff": _headers,
+        "queue_log_roundtrip": _log_files,
+        "synthetic_images": _checker,
     }
 
 
@@ -299,12 +389,20 @@ def oracle_sql() -> dict[str, str]:
         "log_mean_std": f"{_LOG_SQL} select tag, round(avg(time), 6) mean, round(coalesce(stddev_samp(time), 0), 6) std from l group by tag",
         "log_ci95": _ci95_sql(),
         "log_p95": f"{_LOG_SQL} select tag, count(time) n, min(time) min, max(time) max, round(avg(time), 6) mean, round(stddev_pop(time), 6) std, quantile_disc(time, 0.95) p95 from l group by tag",
-        "log_reindex": f"{_LOG_SQL}, m as (select tag, avg(time) mean from l where tag <> 'view' group by tag) select v.tag, round(coalesce(m.mean, 0), 6) mean from (values ('click'), ('purchase'), ('view'), ('error'), ('none')) v(tag) left join m on m.tag = v.tag",
+        "log_reindex": f"{_LOG_SQL}, m as (select tag, avg(time) mean from l group by tag) select v.tag, round(coalesce(m.mean, 0), 6) mean from (values ('click'), ('purchase'), ('error'), ('absent'), ('none')) v(tag) left join m on m.tag = v.tag",
         "log_filter_pairs": f"{_LOG_SQL}, p as (select tag as first, lead(tag) over w as second, time + lead(time) over w as total from l window w as (partition by user_id order by line_no)) select first, second, count(*) n, round(avg(total), 6) mean from p where (first = 'click' and second = 'purchase') or (first = 'view' and second = 'click') group by all",
         "log_first_seen": f"{_LOG_SQL} select tag, min(line_no) first_at, arg_min(user_id, line_no) user_id from l group by tag",
         "log_single_thread": f"{_LOG_SQL}, s as (select time, (user_id % 4)::int t, tag, (user_id % 3)::int k from l), e as (select time, t, case when t = 1 then 'single_thread' else tag end m, case when t = 1 then 0 else k end k from s) select t as \"ThreadNum\", m as \"ComputeMode\", k as \"BlockSize\", round(avg(time), 6) mean from e group by all",
         "log_elapsed_label": _ELAPSED_SQL,
         "stream_pipeline": made["conv_sh"],
+        "bmp_bands_bb": made["conv_bb"],
+        "images_same_name": made["conv_sh"],
+        "compose_normal": made["compose_gb_sh"] + " where img = 'R'",
+        **{f"conv_gb_truncate{e}": made["conv_gb"].replace("round(", "floor(") for e in ("", "_tile", "_separable")},
+        "conv_em_truncate_rowarray": made["conv_em"].replace("least(255.0, round(", "least(255.0, trunc("),
+        "header_and_byte_diff": _HEADERS_SQL,
+        "queue_log_roundtrip": f"{_LOG_SQL} select 'by_row' as \"COMPUTE_MODE\", tag as \"LOG_TAG\", count(*) n, round(min(time), 6) least, round(max(time), 6) most from l group by tag",
+        "synthetic_images": "select 'checker' img, cast(a as int) y, cast(c as int) x, cast((a // 7 + c // 7) % 2 * 255 as int) b, cast((a // 7 + c // 7) % 2 * 255 as int) g, cast((a // 7 + c // 7) % 2 * 255 as int) r from range(40) p(a), range(40) q(c) union all select 'black', cast(a as int), cast(c as int), 0, 0, 0 from range(9) p(a), range(9) q(c)",
     }
 
 

@@ -152,6 +152,19 @@ def output_name(source: str, how: str, output: str | None = None) -> str:
     return output or f"{prefixes[how]}{source}"
 
 
+def below(path: F.Column, folder: str) -> F.Column:
+    """A file's path below a folder; the name alone where it stands elsewhere."""
+    plain = lambda c: F.regexp_replace(c, "^[a-zA-Z][a-zA-Z0-9+.-]*:/{0,2}(?=/)", "")
+    top = F.concat(plain(F.lit(folder.rstrip("/"))), F.lit("/"))
+    return F.when(F.startswith(plain(path), top), F.substring(plain(path), F.length(top) + 1, F.length(path))).otherwise(F.element_at(F.split(path, "/"), -1))
+
+
+def prefixed(name: F.Column, prefix: str) -> F.Column:
+    """The prefix before the last part of a path."""
+    parts = F.split(name, "/")
+    return F.array_join(F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(F.concat(F.lit(prefix), F.element_at(parts, -1)))), "/")
+
+
 def write_images(images: DataFrame, folder: str) -> None:
     """``img, content`` to files, on the executors; ``folder`` is one that all of them share."""
     images.select("img", "content").write.format("bmp").mode("append").save(folder)
@@ -178,20 +191,24 @@ class BmpReader(DataSourceReader):
         self.wrap = options.get("edge", "clamp") == "wrap"
 
     def _files(self) -> list[str]:
+        """Paths below the folder that is read, or the one file's name: images are known by them."""
         if os.path.isdir(self.path):
-            return sorted(os.path.join(self.path, f) for f in os.listdir(self.path) if f.endswith(".bmp"))
-        return [self.path]
+            return sorted(os.path.relpath(os.path.join(top, f), self.path) for top, _, names in os.walk(self.path) for f in names if f.endswith(".bmp"))
+        return [os.path.basename(self.path)]
+
+    def _place(self, name: str) -> str:
+        return os.path.join(self.path if os.path.isdir(self.path) else os.path.dirname(self.path), name)
 
     def partitions(self) -> list[Band]:
         made = []
         for path in self._files():
-            with open(path, "rb") as f:
+            with open(self._place(path), "rb") as f:
                 height = abs(decode_header(f.read(HEADER.size))["biHeight"])
             made += [Band(path, k) for k in range(-(-height // self.rows))]
         return made
 
     def read(self, partition: Band) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        with open(self._place(partition.path), "rb") as f:
             header = decode_header(f.read(HEADER.size))
             width, height, step = header["biWidth"], abs(header["biHeight"]), stride(header["biWidth"])
             y0 = partition.band * self.rows
@@ -211,7 +228,7 @@ class BmpReader(DataSourceReader):
                     lines[at] = f.read(3 * width)
         if any(len(v) != 3 * width for v in lines.values()):
             raise BmpError("BMP_ERROR", "pixels are cut off")
-        yield (os.path.basename(partition.path), partition.band, y0, n, width, height, self.halo, b"".join(lines[at] for at in stored.tolist()))
+        yield (partition.path, partition.band, y0, n, width, height, self.halo, b"".join(lines[at] for at in stored.tolist()))
 
 
 class BmpWriter(DataSourceWriter):
@@ -224,8 +241,9 @@ class BmpWriter(DataSourceWriter):
         os.makedirs(self.folder, exist_ok=True)
         done = []
         for row in rows:
-            name = os.path.basename(row["img"])
+            name = os.path.normpath("/" + row["img"]).lstrip("/")  # folders are kept, and never left
             path = os.path.join(self.folder, name if name.endswith(".bmp") else f"{name}.bmp")
+            os.makedirs(os.path.dirname(path), exist_ok=True)
             part = f"{path}.{os.getpid()}.part"
             with open(part, "wb") as f:
                 f.write(row["content"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,10 @@ from rasterweave.sources import bmp
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def filter_images(images: DataFrame, codes: list[str]) -> DataFrame:
-    """img, content: whole images (small ones) through one or more filters, each in its own task."""
+def filter_images(images: DataFrame, codes: list[str], folder: str = "") -> DataFrame:
+    """img (path below the folder), content: whole images (small ones) through one or more filters, each in its own task."""
     kernels = [get_filter(c) for c in codes]
-    bands = images.where("data is not null").select(F.element_at(F.split("path", "/"), -1).alias("img"), F.lit(0).alias("band"), F.lit(0).alias("y0"), F.col("height").alias("n"), "width", "height", F.lit(0).alias("halo_top"), "data")
+    bands = images.where("data is not null").select(bmp.below(F.col("path"), folder).alias("img"), F.lit(0).alias("band"), F.lit(0).alias("y0"), F.col("height").alias("n"), "width", "height", F.lit(0).alias("halo_top"), "data")
     for kernel in kernels:
         bands = filter_bands(_with_halo(bands, kernel.halo, kernel.taps is None), kernel)
     return bmp.bands_to_image(bands)
@@ -44,7 +45,7 @@ def run_stream(spark: SparkSession, folder: str, codes: list[str], out: str, che
 
     A batch that is run again writes the same files again under the same names.
     """
-    stream = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.bmp")
+    stream = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("pathGlobFilter", "*.bmp").option("recursiveFileLookup", "true")
     if max_files:
         stream = stream.option("maxFilesPerTrigger", max_files)
     if max_bytes:
@@ -52,8 +53,8 @@ def run_stream(spark: SparkSession, folder: str, codes: list[str], out: str, che
     bmp.register(spark)
 
     def sink(batch: DataFrame, epoch: int) -> None:
-        done = filter_images(bmp.decode_files(batch, "DROPMALFORMED"), codes)
-        named = done.withColumn("img", F.concat(F.lit(bmp.output_name("", "queue", output)), "img"))
+        done = filter_images(bmp.decode_files(batch, "DROPMALFORMED"), codes, folder)
+        named = done.withColumn("img", bmp.prefixed(F.col("img"), bmp.output_name("", "queue", output)))
         bmp.write_images(named, out)
 
     return stream.load(folder).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -67,14 +68,22 @@ def run(spark: SparkSession, config: RunConfig, folder: str, out: str, log_path:
     codes = list(config.passes) or [config.filter]
     if config.exec_mode == "queue":
         images = bmp.read_images(spark, [os.path.join(folder, f) for f in config.files], "FAILFAST")
-        named = filter_images(images, codes).withColumn("img", F.concat(F.lit(bmp.output_name("", "queue", config.output)), "img"))
+        named = filter_images(images, codes, folder).withColumn("img", bmp.prefixed(F.col("img"), bmp.output_name("", "queue", config.output)))
     else:
-        kernel = get_filter(codes[0])
-        bands = bmp.read_bands(spark, os.path.join(folder, config.files[0]), config.block, kernel.halo, kernel.taps is None)
+        path = os.path.join(folder, config.files[0])
+        for k, code in enumerate(codes):  # between passes an image is a file again, so that the next one reads bands with halos
+            kernel = get_filter(code)
+            bands = bmp.read_bands(spark, path, config.block, kernel.halo, kernel.taps is None)
+            image = bmp.bands_to_image(filter_bands(bands, kernel, "truncate" if config.backend == "GPU" else "half_away"))
+            if k + 1 < len(codes):
+                bmp.register(spark)
+                bmp.write_images(image.withColumn("img", F.lit(f"pass_{k}.bmp")), os.path.join(out, ".passes"))
+                path = os.path.join(out, ".passes", f"pass_{k}.bmp")
         how = "mpi" if config.exec_mode == "mpi" else "gpu" if config.backend == "GPU" else "threads" if config.threads > 1 else "sequential"
-        named = bmp.bands_to_image(filter_bands(bands, kernel)).withColumn("img", F.lit(bmp.output_name(config.files[0], how, config.output)))
+        named = image.withColumn("img", bmp.prefixed(F.lit(config.files[0]), bmp.output_name("", how)) if not config.output else F.lit(config.output))
     bmp.register(spark)
     bmp.write_images(named, out)
+    shutil.rmtree(os.path.join(out, ".passes"), ignore_errors=True)
     took = time.monotonic() - began
     if config.log and log_path:
         row = [(0, 1, config.backend, config.exec_mode, config.filter, config.threads, config.compute_mode, config.block, took)]
