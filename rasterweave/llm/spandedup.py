@@ -242,10 +242,9 @@ class _Cut:
         smallest = np.full(len(runs), np.iinfo(np.int64).max)
         np.minimum.at(smallest, index, ids)
         frequent = np.bincount(index, minlength=len(runs)) > FREQUENT
-        marks = np.frombuffer(b"".join(hashlib.blake2b(r, digest_size=16).digest() for r in runs), dtype=np.uint8).reshape(-1, 16)
         lengths = np.array([len(r) for r in runs])
         order = np.lexsort((starts, tags, ids, shard[index]))
-        press, out = zstandard.ZstdCompressor(level=1), []
+        press, out = zstandard.ZstdCompressor(level=3), []
         places = lambda own, number: _columns(press, (number, "<u4"), (ids[own], "<i8"), (tags[own], "<i8"), (starts[own], "<u4"))
         local = np.empty(len(runs), dtype=np.int64)
         for is_hot in (False, True):
@@ -265,14 +264,19 @@ class _Cut:
                 local[own] = np.arange(len(own))
                 body = places(here, local[index[here]])
                 if is_hot:
-                    out.append((at, PLACES, _columns(press, (marks[own].ravel(), "u1")), body))
+                    out.append((at, PLACES, _columns(press, (_marks(runs[k] for k in own.tolist()).view("u1"), "u1")), body))
                 else:
-                    head = _columns(press, (marks[own].ravel(), "u1"), (names[own], "<u8"), (lengths[own], "<u4"), (smallest[own], "<i8"), (frequent[own], "u1"), (np.frombuffer(b"".join([runs[k] for k in own.tolist()]), dtype=np.uint8), "u1"))
+                    head = _columns(press, (names[own], "<u8"), (lengths[own], "<u4"), (smallest[own], "<i8"), (frequent[own], "u1"), (np.frombuffer(b"".join([runs[k] for k in own.tolist()]), dtype=np.uint8), "u1"))
                     out.append((at, RUNS, head, body))
         self.distinct, self.held, self.shard, self.names, self.found = {}, 0, [], [], []
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "kind", "runs", "places"])
 
 
+def _marks(runs: Iterator[bytes]) -> np.ndarray:
+    """128 bits for each run: what equal runs are known by."""
+    return np.frombuffer(b"".join([hashlib.blake2b(r, digest_size=16).digest() for r in runs]), dtype="V16")
+
+
 def _columns(press: zstandard.ZstdCompressor, *columns: tuple[np.ndarray, str]) -> bytes:
     """Columns of numbers, each behind its length in bytes."""
     made = [values.astype(kind).tobytes() for values, kind in columns]
@@ -313,11 +317,12 @@ def _judge(parts: int, fan: int):
                         sub = int(mix(np.array([zlib.crc32(place)], dtype=np.uint64))[0] % np.uint64(fan))
                         yield _judged([key * fan + sub], [PLACES], [runs], [place])
                         continue
-                    *head, text = _read_columns(runs, "V16", "<u8", "<u4", "<i8", "u1", "u1")
-                    columns.append(head)
-                    texts.write(text.tobytes())
+                    names, lengths, smallest, frequent, text = _read_columns(runs, "<u8", "<u4", "<i8", "u1", "u1")
+                    ends, body = np.cumsum(lengths, dtype=np.int64), text.tobytes()
+                    columns.append((_marks(body[a:b] for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)), names, lengths, smallest, frequent))
+                    texts.write(body)
                     places.write(place)
-                    sizes.append((len(head[0]), len(place)))
+                    sizes.append((len(names), len(place)))
             if not sizes:
                 return
             marks, names, lengths, smallest, frequent = (np.concatenate(c) for c in zip(*columns, strict=True))
