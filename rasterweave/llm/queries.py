@@ -67,5 +67,36 @@ r as (select query_id, cast(row_number() over (partition by query_id order by sc
 select * from r where rank <= 5"""
 
 
+def spans_sql(table: str = "documents") -> str:
+    """Every string of 50 bytes with the smallest doc_id that it starts in; bytes are pairs of hex digits, cut in two steps."""
+    size, step = spandedup.DEPTH, 1024
+    return f"""with d as (select doc_id, hex(encode(coalesce(text, ''))) h from {table}),
+c as (select doc_id, o, strlen(h) // 2 n, substr(h, 2 * o + 1, {2 * (step + size)}) s from (select *, unnest(range(0, strlen(h) // 2, {step})) o from d)),
+w as (select doc_id, o + i p, substr(s, 2 * i + 1, {2 * size}) x from (select *, unnest(range(0, least({step}, n - {size - 1} - o))) i from c)),
+f as (select x, min(doc_id) first from w group by x),
+g as (select doc_id, p from w join f using (x) where first < doc_id),
+r as (select *, sum(case when p <= before + {size} then 0 else 1 end) over (partition by doc_id order by p) k from (select *, lag(p) over (partition by doc_id order by p) before from g)),
+s as (select doc_id, min(p) a, max(p) + {size} b from r group by doc_id, k),
+t as (select *, coalesce(lag(b) over (partition by doc_id order by a), 0) kept_from from s),
+k as (select doc_id, sum(b - a) n_removed, count(*) n_spans, max(b) rest, string_agg(substr(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' order by a) kept from t join d using (doc_id) group by doc_id)
+select d.doc_id, cast(strlen(h) // 2 as bigint) n_bytes, cast(coalesce(n_removed, 0) as bigint) n_removed, coalesce(n_spans, 0) n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * rest + 1), h))) kept_sha256 from d left join k on k.doc_id = d.doc_id"""
+
+
+def lines_sql(table: str = "documents") -> str:
+    """Every form against all earlier forms of like length that hold a third of it unchanged, as two edits leave one."""
+    whole = "contains(a.form, left(b.form, length(b.form) // 3)) or contains(a.form, substr(b.form, length(b.form) // 3 + 1, length(b.form) // 3)) or contains(a.form, substr(b.form, length(b.form) // 3 * 2 + 1))"
+    return f"""with l as (select doc_id, unnest(range(len(x))) line, unnest(x) raw from (select doc_id, string_split(text, chr(10)) x from {table} where text is not null)),
+f as (select doc_id, line, doc_id * 1000000000 + line place, translate(trim(raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') form from l),
+g as (select form, strlen(form) n, min(place) first from f where form <> '' group by form),
+e as (select a.form, min(b.first) near from g a join g b on b.n between a.n - {lines.BOUND} and a.n + {lines.BOUND} and b.first < a.first
+  where case when {whole} then levenshtein(a.form, b.form) <= {lines.BOUND} else false end group by a.form),
+v as (select f.doc_id, f.line, f.place > least(g.first, coalesce(e.near, g.first)) gone from f join g using (form) left join e using (form)),
+k as (select l.doc_id, count(*) filter (gone) n_removed, string_agg(l.line::varchar, ',' order by l.line) filter (gone) removed, string_agg(raw, chr(10) order by l.line) filter (not coalesce(gone, false)) kept
+  from l left join v on v.doc_id = l.doc_id and v.line = l.line group by l.doc_id)
+select d.doc_id, case when text is null then 0 else len(string_split(text, chr(10))) end n_lines, coalesce(n_removed, 0) n_removed, coalesce(removed, '') removed, sha256(coalesce(kept, '')) kept_sha256
+from {table} d left join k on k.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": minhash_sql(), "op7_exact_top_k": topk_sql(), "op9_source_mixing": mixing_sql()}
+    return {"op2_minhash_near_dedup": minhash_sql(), "op6_suffix_dedup": spans_sql(), "op7_exact_top_k": topk_sql(), "op9_source_mixing": mixing_sql(), "op10_line_dedup": lines_sql()}
