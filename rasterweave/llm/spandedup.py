@@ -46,6 +46,10 @@ HELD_BYTES, FREQUENT = 16 << 20, 64
 #: Text for which the places of frequent runs are dealt one way more; ways at most.
 FAN_BYTES, MOST_FAN = 1 << 30, 256
 SORTED_ROWS, DECIDED_RUNS = 1 << 18, 1 << 14
+#: Windows that are hashed at once.
+BLOCK = 1 << 14
+#: Bytes of the file in which runs that are read at once begin; what stands at a suffix that is no window.
+READ_BYTES, NO_WINDOW = 1 << 16, np.int32(2**31 - 1)
 _PACK = 6
 QUERY, KNOWN, SETTLED = 0, 1, 2
 RUNS, PLACES = 0, 1
@@ -53,33 +57,44 @@ DECISIONS, SPANS = 0, 2
 JUDGED = "key long, kind int, runs binary, places binary"
 
 
+def _least_hashes(data: np.ndarray) -> np.ndarray:
+    """The least hash of the strings of NAME_BYTES in each window of DEPTH bytes, in blocks that a processor's cache holds."""
+    data = np.ascontiguousarray(data)
+    out = np.empty(len(data) - DEPTH + 1, dtype=np.uint64)
+    for a in range(0, len(out), BLOCK):
+        own = out[a : a + BLOCK]
+        n = len(own) + REACH - 1
+        words = np.ndarray((n + NAME_BYTES - 8,), dtype="<u8", buffer=data, offset=a, strides=(1,)).astype(np.uint64)
+        hashes = np.zeros(n, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(0, NAME_BYTES, 8):
+                hashes *= np.uint64(0x9E3779B97F4A7C15)
+                hashes += words[k : k + n]
+            hashes = mix(hashes * np.uint64(0xC2B2AE3D27D4EB4F))
+        span = 1
+        while 2 * span <= REACH:
+            hashes = np.minimum(hashes[:-span], hashes[span:])
+            span *= 2
+        np.minimum(hashes[: len(own)], hashes[REACH - span :], out=own)
+    return out
+
+
 def window_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First and last-plus-one window, text and 48-bit name of each run of equally named windows."""
     n = len(data)
     none = np.zeros(0, dtype=np.int64)
     if n < DEPTH:
         return none, none, none, none.astype(np.uint64)
-    words = np.ndarray((n - 7,), dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
-    with np.errstate(over="ignore"):
-        least = np.zeros(n - NAME_BYTES + 1, dtype=np.uint64)
-        for k in range(0, NAME_BYTES, 8):
-            least = least * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(least)]
-        least = mix(least * np.uint64(0xC2B2AE3D27D4EB4F))
-    span = 1
-    while 2 * span <= REACH:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    least = np.minimum(least[: len(least) - (REACH - span)], least[REACH - span :])
-    long_ = np.flatnonzero(np.diff(offsets) >= DEPTH)
-    first, stop = offsets[long_], offsets[long_ + 1] - DEPTH + 1
-    change = np.zeros(len(least) + 1, dtype=np.int32)
-    np.add.at(change, first, 1)
-    np.add.at(change, stop, -1)
-    valid = np.cumsum(change[:-1]) > 0
-    begins = np.concatenate([[True], least[1:] != least[:-1]])
-    begins[first] = True
-    starts = np.flatnonzero(begins & valid)
+    least = _least_hashes(data)
+    begins = np.empty(len(least), dtype=bool)
+    begins[0] = True
+    np.not_equal(least[1:], least[:-1], out=begins[1:])
+    first = offsets[:-1]
+    begins[first[first < len(least)]] = True
+    starts = np.flatnonzero(begins)
     owner = np.searchsorted(offsets, starts, "right") - 1
+    valid = starts + DEPTH <= offsets[owner + 1]
+    starts, owner = starts[valid], owner[valid]
     ends = np.append(starts[1:], len(least))
     ends = np.minimum(ends, offsets[owner + 1] - DEPTH + 1)
     return starts, ends, owner, least[starts] >> np.uint64(16)
@@ -126,6 +141,13 @@ def _edges(values: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64), len(values))
 
 
+def _by(major: np.ndarray, minor: np.ndarray) -> np.ndarray:
+    """Stable order by two columns of numbers from 0 on, by one sort of their product where it fits."""
+    n = len(major)
+    width, high = int(minor.max(initial=0)) + 1, int(major.max(initial=0)) + 1
+    return np.argsort((major * width + minor) * n + np.arange(n)) if high * width * n < 2**63 else np.lexsort((minor, major))
+
+
 def _part(ids: np.ndarray, parts: int) -> np.ndarray:
     return (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
@@ -138,10 +160,9 @@ def _name_rows(slots: int):
         if not len(names):
             return None
         ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tag"))
-        order = np.lexsort((owner, names))
-        names, owner = names[order], owner[order]
-        once = np.concatenate([[True], (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])])
-        names, owner = names[once], owner[once]
+        both = np.sort(names << np.uint64(16) | owner.astype(np.uint64))  # a batch has at most BATCH_ROWS rows
+        both = both[_edges(both)[:-1]]
+        names, owner = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.int64)
         edges = _edges(names)
         first = edges[:-1]
         several = np.repeat(np.minimum.reduceat(ids[owner], first) != np.maximum.reduceat(ids[owner], first), np.diff(edges))
@@ -151,7 +172,7 @@ def _name_rows(slots: int):
         out: tuple[list, list, list] = ([], [], [])
         for flag, keep, where in ((QUERY, ~several, slot), (KNOWN, several & lead, slot), (SETTLED, several, slots + _part(ids, slots)[owner])):
             w, o, n = where[keep], owner[keep], names[keep]
-            by = np.lexsort((o, w))
+            by = _by(w, o)
             w, o, n = w[by], o[by], n[by]
             cuts = _edges(w).tolist()
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -171,7 +192,7 @@ def _survivors(slots: int):
             return pa.table({"part": pa.array(np.full(table.num_rows, slot - slots, np.int32)), "names": table.column("names")})
         ids, tags, owner, names, row = _unpress(table.column("names"))
         flag = table.column("flag").to_numpy()[row]
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
         edges = _edges(names[order])
         doc = ids[owner[order]]
         lives = (np.minimum.reduceat(doc, edges[:-1]) != np.maximum.reduceat(doc, edges[:-1])) | (np.maximum.reduceat(flag[order], edges[:-1]) == KNOWN)
@@ -180,7 +201,7 @@ def _survivors(slots: int):
         keep &= flag == QUERY
         owner, names = owner[keep], names[keep]
         part = _part(ids, slots)[owner]
-        by = np.lexsort((owner, part))
+        by = _by(part, owner)
         owner, names, part = owner[by], names[by], part[by]
         cuts = _edges(part).tolist()
         made = [_press(ids, tags, owner[a:b], names[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -205,7 +226,7 @@ class _Cut:
     def __init__(self, shards: int):
         self.shards = shards
         self.distinct: dict[bytes, int] = {}
-        self.held, self.shard, self.names, self.found = 0, [], [], []
+        self.held, self.shard, self.names, self.found, self.docs, self.rows_before = 0, [], [], [], [], 0
 
     def add(self, batch: pa.RecordBatch) -> None:
         """doc_id, tag, text, found (names that repeat)."""
@@ -230,7 +251,9 @@ class _Cut:
         own = np.empty(len(distinct) - before, dtype=np.uint64)
         own[index[new] - before] = names[new]
         self.names.append(own)
-        self.found.append((index, ids[owner], tags[owner], starts - offsets[owner]))
+        self.found.append((index, owner + self.rows_before, starts - offsets[owner]))
+        self.docs.append((ids, tags))
+        self.rows_before += len(ids)
         self.held += int((ends - starts).sum()) + 40 * len(starts)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
@@ -238,12 +261,16 @@ class _Cut:
         if not self.found:
             return
         runs, shard, names = list(self.distinct), np.concatenate(self.shard), np.concatenate(self.names)
-        index, ids, tags, starts = (np.concatenate(c) for c in zip(*self.found, strict=True))
+        index, row, starts = (np.concatenate(c) for c in zip(*self.found, strict=True))
+        ids, tags = (np.concatenate(c) for c in zip(*self.docs, strict=True))
+        place = np.empty(len(ids), dtype=np.int64)
+        place[np.lexsort((tags, ids))] = np.arange(len(ids))
+        order = _by(shard[index], place[row])
+        ids, tags = ids[row], tags[row]
         smallest = np.full(len(runs), np.iinfo(np.int64).max)
         np.minimum.at(smallest, index, ids)
         frequent = np.bincount(index, minlength=len(runs)) > FREQUENT
-        lengths = np.array([len(r) for r in runs])
-        order = np.lexsort((starts, tags, ids, shard[index]))
+        lengths = np.fromiter(map(len, runs), dtype=np.int64, count=len(runs))
         press, out = zstandard.ZstdCompressor(level=3), []
         places = lambda own, number: _columns(press, (number, "<u4"), (ids[own], "<i8"), (tags[own], "<i8"), (starts[own], "<u4"))
         local = np.empty(len(runs), dtype=np.int64)
@@ -268,7 +295,8 @@ class _Cut:
                 else:
                     head = _columns(press, (names[own], "<u8"), (lengths[own], "<u4"), (smallest[own], "<i8"), (frequent[own], "u1"), (np.frombuffer(b"".join([runs[k] for k in own.tolist()]), dtype=np.uint8), "u1"))
                     out.append((at, RUNS, head, body))
-        self.distinct, self.held, self.shard, self.names, self.found = {}, 0, [], [], []
+        self.distinct = {}
+        self.held, self.shard, self.names, self.found, self.docs, self.rows_before = 0, [], [], [], [], 0
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["shard", "kind", "runs", "places"])
 
 
@@ -367,48 +395,58 @@ def _judged(key: list, kind: list, runs: list, places: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(kind, pa.int32()), pa.array(runs, pa.binary()), pa.array(places, pa.binary())], ["key", "kind", "runs", "places"])
 
 
+def _ranges(sizes: np.ndarray) -> np.ndarray:
+    """0 to size - 1 for each size."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
 def _decisions(texts: object, begin: np.ndarray, lengths: np.ndarray, lead: np.ndarray, least: np.ndarray, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each distinct run (``lead``): where its stretches begin among all, the first window of each, and the
     smallest doc_id in which the windows of the stretch stand. The runs are one text, whose suffixes are sorted on disk."""
     size = lengths[lead].astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(size + 1)])
-    text = scratch.array(int(offsets[-1]), "uint8")
-    for k, (a, n) in enumerate(zip(begin[lead].tolist(), size.tolist(), strict=True)):
-        texts.seek(a)
-        own = np.frombuffer(texts.read(n), dtype=np.uint8)
-        text[offsets[k] : offsets[k] + n] = own + np.uint8(2)  # UTF-8 bytes end at 244
-        text[offsets[k] + n] = 1
+    text, decides = scratch.array(int(offsets[-1]), "uint8"), scratch.array(int(offsets[-1]), "int32")
+    text[offsets[1:] - 1] = 1
+    docs, rank = np.unique(least, return_inverse=True)
+    rank, begins = rank.astype(np.int32), begin[lead]
+    order = np.argsort(begins)
+    for own in np.split(order, np.flatnonzero(np.diff(begins[order] // READ_BYTES)) + 1):  # in the order of the file
+        first = int(begins[own[0]])
+        texts.seek(first)
+        held = np.frombuffer(texts.read(int(begins[own[-1]] + size[own[-1]]) - first), dtype=np.uint8)
+        inner = _ranges(size[own])
+        to = np.repeat(offsets[own], size[own]) + inner
+        text[to] = held[np.repeat(begins[own] - first, size[own]) + inner] + np.uint8(2)  # UTF-8 bytes end at 244
+        decides[to] = np.where(inner <= np.repeat(size[own] - DEPTH, size[own]), np.repeat(rank[own], size[own]), NO_WINDOW)
+    decides[offsets[1:] - 1] = NO_WINDOW
     order, shared = sort_suffixes(text, scratch)
-    decides = scratch.array(len(text), "int64")
     at = 0
-    while at < len(order):  # blocks end between classes of windows that share DEPTH bytes
+    while at < len(order):  # blocks end between classes of suffixes that share DEPTH bytes: all are windows, or none is
         stop = min(len(order), at + SORTED_ROWS)
         while stop < len(order):
             apart = np.flatnonzero(shared[stop : stop + SORTED_ROWS] < DEPTH)
             stop = min(len(order), stop + (int(apart[0]) if len(apart) else SORTED_ROWS))
             if len(apart):
                 break
-        places = order[at:stop].astype(np.int64)
-        run = np.searchsorted(offsets, places, "right") - 1
-        inside = np.flatnonzero(offsets[run + 1] - 1 - places >= DEPTH)
-        if len(inside):
-            group = np.cumsum(shared[at:stop] < DEPTH)[inside]
-            edges = _edges(group)
-            decides[places[inside]] = np.repeat(np.minimum.reduceat(least[run[inside]], edges[:-1]), np.diff(edges))
+        places = order[at:stop]
+        new = shared[at:stop] < DEPTH
+        new[0] = True
+        first = np.flatnonzero(new)
+        decides[places] = np.repeat(np.minimum.reduceat(decides[places], first), np.diff(np.append(first, len(places))))
         at = stop
     heads, when, who = [np.zeros(1, dtype=np.int64)], [], []
     total = 0
     for a in range(0, len(size), DECIDED_RUNS):
         windows = size[a : a + DECIDED_RUNS] - DEPTH + 1
         first = np.cumsum(windows) - windows
-        place = np.repeat(offsets[a : a + len(windows)] - first, windows) + np.arange(int(windows.sum()))
+        place = np.repeat(offsets[a : a + len(windows)], windows) + _ranges(windows)
         values = decides[place]
         new = np.concatenate([[True], values[1:] != values[:-1]])
         new[first] = True
         new = np.flatnonzero(new)
         own = np.searchsorted(first, new, "right") - 1
         when.append(new - first[own])
-        who.append(values[new])
+        who.append(docs[values[new]])
         counts = np.bincount(own, minlength=len(windows))
         heads.append(total + np.cumsum(counts))
         total += len(new)

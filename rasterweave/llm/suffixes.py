@@ -33,10 +33,31 @@ ROWS = 1 << 16
 FREQUENT = 4096
 #: Texts of names up to this length are sorted in memory.
 SMALL = 1 << 17
+#: So few tuples that a bucket sends to itself are followed one by one.
+FEW = 32
 POSITION, BEFORE, TAG, CHAR = 0, 1, 2, 3
+#: From these numbers on, the highest byte that isn't zero is the last, the last but one and so on.
+_HIGHEST = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
 ORDER, GROUP, PREFIX = "order", "group", "prefix"
 
 
+def by_bucket(buckets: np.ndarray, count: int) -> np.ndarray:
+    """Stable order of bucket numbers below ``count``; few buckets are sorted by digits."""
+    return np.argsort(buckets.astype(np.uint8) if count <= 1 << 8 else buckets.astype(np.uint16) if count <= 1 << 16 else buckets, kind="stable")
+
+
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where groups of equal neighbours begin."""
+    new = np.empty(len(values), dtype=bool)
+    new[:1] = True
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray | None:
+    return (np.concatenate(parts) if len(parts) > 1 else parts[0]) if parts else None
+
+
 class Queue:
     """Tuples by bucket, first in first out (or last in first out), in memory up to a budget and in a file beyond it."""
 
@@ -49,13 +70,13 @@ class Queue:
 
     def push(self, buckets: np.ndarray, rows: np.ndarray) -> None:
         """Adds tuples in their order; ``buckets`` need not be in order."""
-        if not len(rows):
-            return
-        if len(self.parts) <= 1 << 16:  # sorted by digits
-            buckets = buckets.astype(np.uint16)
-        order = np.argsort(buckets, kind="stable")
-        buckets, rows = buckets[order], np.take(rows, order, axis=0)
-        edges = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
+        if len(rows):
+            order = by_bucket(buckets, len(self.parts))
+            self.push_sorted(buckets[order], np.take(rows, order, axis=0))
+
+    def push_sorted(self, buckets: np.ndarray, rows: np.ndarray) -> None:
+        """Adds tuples whose buckets rise."""
+        edges = _heads(buckets)
         for b, x, y in zip(buckets[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(rows)], strict=True):
             self.parts[b].append(rows[x:y].copy())
             self.held[b] += y - x
@@ -78,39 +99,54 @@ class Queue:
         self.spilled += n
 
     def _read(self, at: int, n: int) -> np.ndarray:
+        rows = np.empty((n, self.width), dtype=np.int64)
         self.file.seek(at)
-        return np.frombuffer(self.file.read(8 * self.width * n), dtype=np.int64).reshape(n, self.width).copy()
+        if self.file.readinto(rows.data) != rows.nbytes:
+            raise OSError("a queue's file is short")
+        return rows
 
     def pop(self, b: int) -> np.ndarray | None:
-        """The next ROWS tuples of a bucket or fewer; None if it is empty."""
-        if self.stored[b]:
-            at, n = self.stored[b].popleft()
-            if n > ROWS:
-                self.stored[b].appendleft((at + 8 * self.width * ROWS, n - ROWS))
-            return self._read(at, min(n, ROWS))
-        taken, n = [], 0
-        while self.parts[b] and (not taken or n + len(self.parts[b][0]) <= ROWS):
-            taken.append(self.parts[b].popleft())
-            n += len(taken[-1])
-        return self._taken(b, taken, n)
+        """The next ROWS tuples of a bucket, or all if it has fewer; None if it is empty."""
+        stored, parts, taken, free = self.stored[b], self.parts[b], [], ROWS
+        while free and stored:
+            at, n = stored.popleft()
+            k = min(n, free)
+            if n > k:
+                stored.appendleft((at + 8 * self.width * k, n - k))
+            taken.append(self._read(at, k))
+            free -= k
+        while free and parts:
+            part = parts.popleft()
+            if len(part) > free:
+                parts.appendleft(part[free:])
+                part = part[:free]
+            taken.append(self._released(b, part))
+            free -= len(part)
+        return _joined(taken)
 
     def pop_last(self, b: int) -> np.ndarray | None:
-        """The last ROWS tuples of a bucket or fewer, the last one first; None if it is empty."""
-        if self.parts[b]:
-            part = self.parts[b].pop()
-            return self._taken(b, [part[::-1]], len(part))
-        if not self.stored[b]:
-            return None
-        at, n = self.stored[b].pop()
-        k = min(n, ROWS)
-        if n > k:
-            self.stored[b].append((at, n - k))
-        return self._read(at + 8 * self.width * (n - k), k)[::-1]
-
-    def _taken(self, b: int, parts: list[np.ndarray], n: int) -> np.ndarray | None:
-        self.held[b] -= n
-        self.total -= n
-        return (np.concatenate(parts) if len(parts) > 1 else parts[0]) if parts else None
+        """The last ROWS tuples of a bucket, or all if it has fewer, the last one first; None if it is empty."""
+        stored, parts, taken, free = self.stored[b], self.parts[b], [], ROWS
+        while free and parts:
+            part = parts.pop()
+            if len(part) > free:
+                parts.append(part[:-free])
+                part = part[-free:]
+            taken.append(self._released(b, part)[::-1])
+            free -= len(part)
+        while free and stored:
+            at, n = stored.pop()
+            k = min(n, free)
+            if n > k:
+                stored.append((at, n - k))
+            taken.append(self._read(at + 8 * self.width * (n - k), k)[::-1])
+            free -= k
+        return _joined(taken)
+
+    def _released(self, b: int, part: np.ndarray) -> np.ndarray:
+        self.held[b] -= len(part)
+        self.total -= len(part)
+        return part
 
     def all(self, b: int, last: bool) -> np.ndarray:
         taken = []
@@ -186,11 +222,12 @@ class _Level:
         return made
 
     def before(self, rows: np.ndarray) -> np.ndarray:
-        """The character before each suffix (0: none); tuples that carry no more characters read some, in text order."""
+        """The character before each suffix (0: none); tuples that carry no more characters read some, in text order if the text exceeds the queues' memory."""
         carried = rows[:, BEFORE].view(np.uint64)
         bare = np.flatnonzero((carried == 0) & (rows[:, POSITION] > 0))
         if len(bare):
-            bare = bare[np.argsort(rows[bare, POSITION], kind="stable")]
+            if self.text.nbytes > self.scratch.memory:
+                bare = bare[np.argsort(rows[bare, POSITION])]
             at = rows[bare, POSITION] - 1
             found = np.zeros(len(bare), dtype=np.uint64)
             far = at >= 7 if self.words is not None else np.zeros(len(at), dtype=bool)
@@ -233,9 +270,21 @@ class _Level:
         return out
 
     def compare(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Characters that suffixes share, at most DEPTH."""
+        """Characters that suffixes share, at most DEPTH; bytes by eights where the text goes on for long enough."""
         shared = np.zeros(len(left), dtype=np.int64)
         live = np.arange(len(left))
+        if self.words is not None:
+            far = np.maximum(left, right) + DEPTH + 8 <= self.n
+            live, near = np.flatnonzero(far), np.flatnonzero(~far)
+            for k in range(0, DEPTH, 8):
+                apart = self.words[left[live] + k] ^ self.words[right[live] + k]
+                equal = 8 - np.searchsorted(_HIGHEST, apart, "right")
+                shared[live] += equal
+                live = live[equal == 8]
+                if not len(live):
+                    break
+            np.minimum(shared, DEPTH, out=shared)
+            live = near
         for k in range(DEPTH):
             a, b = left[live] + k, right[live] + k
             inside = (a < self.n) & (b < self.n)
@@ -319,11 +368,10 @@ class _Level:
     def _send(self, queue: Queue, rows: np.ndarray, values: np.ndarray, before: np.ndarray, wanted: np.ndarray) -> None:
         """Queues the wanted predecessors of popped suffixes."""
         at = np.flatnonzero(wanted)
-        if self.mode == PREFIX:
-            prefix = values.astype(np.uint8)
-            buckets, tags = self._prefixes(prefix, at, before[at])
-        else:
-            buckets, tags = self.bucket(before[at]), values[at]
+        buckets = self.bucket(before[at])
+        order = by_bucket(buckets, len(self.starts))
+        at, buckets = at[order], buckets[order]
+        tags = self._prefixes(values.astype(np.uint8), at, buckets) if self.mode == PREFIX else values[at]
         if not len(at):
             return
         made = np.empty((len(at), self.width), dtype=np.int64)
@@ -332,33 +380,48 @@ class _Level:
         made[:, TAG] = tags
         if not self.plain:
             made[:, CHAR] = before[at]
-        queue.push(buckets, made)
+        queue.push_sorted(buckets, made)
 
-    def _prefixes(self, prefix: np.ndarray, at: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of the sent ones, and what each shares with the one sent there before it.
+    def _prefixes(self, prefix: np.ndarray, place: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """What each sent one (places by bucket) shares with the one sent there before it.
 
         ``low`` is, for each bucket, the least prefix popped since something was sent there.
         """
-        buckets = self.bucket(chars)
-        order = np.argsort(buckets, kind="stable")
-        own, place = buckets[order], at[order]
-        tags = np.zeros(len(at), dtype=np.int64)
         whole = prefix.min()
-        if len(at):
-            first = np.concatenate([[True], own[1:] != own[:-1]])
-            upto = np.minimum.accumulate(prefix)
-            value = np.empty(len(at), dtype=np.uint8)
-            value[first] = np.minimum(self.low[own[first]], upto[place[first]])
-            rest = np.flatnonzero(~first)
-            value[rest] = least_between(prefix, place[rest - 1], place[rest])
-            tags[order] = np.minimum(DEPTH, value.astype(np.int64) + 1)
-            final = np.append(first[1:], True)
-            onward = np.append(np.minimum.accumulate(prefix[::-1])[::-1][1:], np.uint8(DEPTH))
+        if not len(place):
             self.low = np.minimum(self.low, whole)
-            self.low[own[final]] = onward[place[final]]
-        else:
-            self.low = np.minimum(self.low, whole)
-        return buckets, tags
+            return np.zeros(0, dtype=np.int64)
+        first = np.zeros(len(own), dtype=bool)
+        first[_heads(own)] = True
+        upto = np.minimum.accumulate(prefix)
+        value = np.empty(len(own), dtype=np.uint8)
+        value[first] = np.minimum(self.low[own[first]], upto[place[first]])
+        rest = np.flatnonzero(~first)
+        value[rest] = least_between(prefix, place[rest - 1], place[rest])
+        final = np.append(first[1:], True)
+        onward = np.append(np.minimum.accumulate(prefix[::-1])[::-1][1:], np.uint8(DEPTH))
+        self.low = np.minimum(self.low, whole)
+        self.low[own[final]] = onward[place[final]]
+        return np.minimum(DEPTH, value.astype(np.int64) + 1)
+
+    def _chains(self, rows: np.ndarray, before: np.ndarray, parents: np.ndarray, number: int, lo: int, hi: int, sign: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """All that tuples of a bucket send to it, one chain after the other: tuples (numbered from ``number`` on), the
+        characters before them, the numbers of their sources, and the length of the longest chain."""
+        positions, chars, befores, above, tags, rounds = [], [], [], [], [], 0
+        for position, tag, t, parent in zip(rows[:, POSITION].tolist(), rows[:, TAG].tolist(), before.tolist(), parents.tolist(), strict=True):
+            start, inside = len(positions), True
+            while inside:
+                position -= 1
+                char, t = t, int(self.text[position - 1]) if position else 0
+                above.append(parent)
+                parent = number + len(positions)
+                positions.append(position)
+                chars.append(char)
+                befores.append(t)
+                inside = lo <= t < hi and sign * t >= sign * char
+            tags += [tag] * (len(positions) - start)
+            rounds = max(rounds, len(positions) - start)
+        return self.rows(np.array(positions), np.array(chars), np.array(tags)), np.array(befores), np.array(above), rounds
 
     def _range(self, b: int, sign: int, queue: Queue, others: Queue, keep: Callable | None, consume: Callable | None) -> None:
         """A bucket of several names: what it sends to itself is added first, then all of it is put in order.
@@ -378,6 +441,13 @@ class _Level:
             inside = np.flatnonzero((t >= lo) & (t < hi) & ((sign * t > sign * c) | ((t == c) & (np.arange(len(part)) < fresh))))
             if not len(inside):
                 break
+            if len(inside) <= FEW:  # mostly repeats, which go on for many rounds
+                made, t, above, rounds = self._chains(part[inside], t[inside], at + inside, at + len(part), lo, hi, sign)
+                parts.append(made)
+                befores.append(t)
+                parents.append(above)
+                deep += rounds
+                break
             made = part[inside]
             made[:, POSITION] -= 1
             made[:, BEFORE] = (made[:, BEFORE].view(np.uint64) >> self.bits).view(np.int64)
@@ -396,13 +466,7 @@ class _Level:
             else:
                 second[where] = np.arange(len(part))
         high = 2 * (rows[:, CHAR] - lo if sign > 0 else hi - 1 - rows[:, CHAR]) + is_other << 40
-        rank = _dense(high + second)
-        reach = 1
-        while reach <= deep:
-            rank = _dense(rank * len(rows) + np.where(parent >= 0, rank[parent] + 1, 0))
-            parent = np.where(parent >= 0, parent[parent], -1)
-            reach *= 2
-        order = np.argsort(rank, kind="stable")
+        rank, order = _ranked(high + second, parent, deep)
         values = rows[:, TAG]
         if self.mode == GROUP:
             values = np.where(is_other & (sign < 0), values, self.groups + rank)
@@ -415,23 +479,40 @@ class _Level:
         self._send(queue, rows, values, before, (before > 0) & ((before < lo) | (before >= hi)) & (sign * before > sign * rows[:, CHAR]))
 
 
-def _dense(keys: np.ndarray) -> np.ndarray:
-    """Ranks from 0 on; equal keys share one."""
-    order = np.argsort(keys)
-    rank = np.empty(len(keys), dtype=np.int64)
-    rank[order] = np.cumsum(np.diff(keys[order], prepend=keys[order[0]]) != 0)
-    return rank
+def _ranked(keys: np.ndarray, parent: np.ndarray, deep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks by key, then by the parent's key and so on (-1: none, which comes first), at most ``deep`` parents up, and the order.
+
+    A rank is the place of the first that is equal. Ranks are doubled; those that stand alone are final, only ties are sorted again.
+    """
+    n = len(keys)
+    rank, order, tied, reach = np.zeros(n, dtype=np.int64), np.arange(n), np.arange(n), 0
+    while True:
+        items = order[tied]
+        if reach:
+            above = parent[items]
+            keys = rank[items] * (n + 1) + np.where(above >= 0, rank[above] + 1, 0)
+        by = np.argsort(keys)
+        items, keys = items[by], keys[by]
+        order[tied] = items
+        heads = _heads(keys)
+        sizes = np.diff(np.append(heads, len(items)))
+        rank[items] = np.repeat(tied[heads], sizes)
+        tied = tied[np.repeat(sizes > 1, sizes)]
+        if reach:
+            parent = np.where(parent >= 0, parent[parent], -1)
+        reach = max(1, 2 * reach)
+        if reach > deep or not len(tied):
+            break
+    items = order[tied]  # equal ones stay in their order
+    order[tied] = items[np.argsort(rank[items] * n + items)]
+    return rank, order
 
 
 def _in_memory(text: np.ndarray) -> np.ndarray:
     """Suffix order of a short text by doubled ranks."""
-    rank, k = np.asarray(text).astype(np.int64), 1
-    while True:
-        second = np.append(rank[k:], np.zeros(min(k, len(rank)), dtype=np.int64))
-        rank = _dense(rank * (int(rank.max()) + 1) + second) + 1
-        if rank.max() == len(rank):
-            return np.argsort(rank)
-        k *= 2
+    following = np.arange(1, len(text) + 1)
+    following[-1:] = -1
+    return _ranked(np.asarray(text).astype(np.int64), following, len(text))[1]
 
 
 class _Names:

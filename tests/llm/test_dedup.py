@@ -274,6 +274,56 @@ with suffixes.Scratch(1 << 18) as scratch:
     assert done.returncode == 0, done.stderr[-2000:]
 
 
+@pytest.mark.parametrize("last", [False, True])
+def test_queue_takes_spilled_tuples_together(monkeypatch, last):
+    """What was spilled in many chunks is taken ROWS at a time, in order, not chunk by chunk."""
+    monkeypatch.setattr(suffixes, "ROWS", 100)
+    with suffixes.Scratch() as scratch:
+        queue = suffixes.Queue(2, 3, 8 * 3 * 20, scratch.folder)
+        for a in range(0, 250, 5):
+            rows = np.stack([np.arange(a, a + 5)] * 3, axis=1)
+            queue.push(np.arange(5) % 2, rows)
+        taken = []
+        while (rows := queue.pop_last(0) if last else queue.pop(0)) is not None:
+            taken.append(rows[:, 0].tolist())
+        assert queue.spilled > 100 and [len(t) for t in taken] == [100, 50]
+        wanted = [k for k in range(250) if k % 5 % 2 == 0]
+        assert sum(taken, []) == (wanted[::-1] if last else wanted)
+        queue.close()
+
+
+@pytest.mark.parametrize("few", [0, 2, 32])
+def test_long_repeats_in_a_bucket_take_few_steps(monkeypatch, few):
+    """Chains of equal names in a bucket: the same order however they are followed, and not a step in numpy for each link."""
+    monkeypatch.setattr(suffixes, "FEW", few, raising=False)
+    monkeypatch.setattr(suffixes, "SMALL", 16)
+    rng = np.random.default_rng(5)
+    text = np.concatenate([rng.integers(1, 6, 300), np.tile([3, 1, 2], 400), rng.integers(1, 6, 300), np.tile([2, 4, 1, 1], 300), rng.integers(1, 6, 50)]).astype(np.uint8)
+    calls, before = [], suffixes._Level.before
+    monkeypatch.setattr(suffixes._Level, "before", lambda level, rows: calls.append(len(rows)) or before(level, rows))
+    with suffixes.Scratch() as scratch:
+        order, shared = (x.tolist() for x in suffixes.sort_suffixes(text, scratch))
+        assert scratch.levels > 1
+    assert (order, shared) == plain_order(text)
+    assert few < 32 or len(calls) < 400
+
+
+def test_window_names_across_blocks(monkeypatch):
+    """Windows hashed in blocks bear the same names as those hashed at once, also where texts end."""
+    rng = np.random.default_rng(6)
+    texts = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in (0, 49, 50, 51, 700, 0, 3, 130)]
+    data, offsets = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    runs = []
+    for block in (1, 7, 64, 1 << 14):
+        monkeypatch.setattr(spandedup, "BLOCK", block)
+        runs.append([x.tolist() for x in spandedup.window_runs(data, offsets)])
+    assert runs[0] == runs[1] == runs[2] == runs[3]
+    starts, ends, owner, names = runs[0]
+    windows = [(o, w) for a, b, o in zip(starts, ends, owner, strict=True) for w in range(a - offsets[o], b - offsets[o])]
+    assert windows == [(o, w) for o, t in enumerate(texts) for w in range(len(t) - 49)]
+    assert all(x != y or p != q for x, y, p, q in zip(names, names[1:], owner, owner[1:]))
+
+
 def test_shards_spill_at_production_settings(spark):
     """A shard of the given documents does not fit the queues' memory."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text is not null").limit(2500)
