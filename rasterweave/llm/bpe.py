@@ -5,10 +5,15 @@ passage share its chunks, and a chunk is encoded once (a bounded cache in each w
 batch). A chunk's tokens hold up to the ends of the chunk, where a word may be cut. So each join is
 repaired: the stretch between the last sure boundary before it and the first one after it is encoded
 again, and accepted when both its ends are token ends in the chunks around it; else it grows to the next
-sure boundary and is encoded again, until they agree. A sure boundary is a space after a character that
-is not white space and before an ASCII letter: the pre-tokenizer starts a token there whatever stands
-around, and no special token holds a space. A text with few sure boundaries (no spaces, other scripts) is
-encoded whole, as is every text if the tokenizer file does not keep the rules that this rests on.
+sure boundary and is encoded again, until they agree. A sure boundary is a space or line feed after a
+character that is not white space, or one of ``,.;:!?`` after an ASCII letter: no token of the
+pre-tokenizer holds the one after the other, so a token starts there whatever stands before, and no
+special token holds any of these. A text with few sure boundaries (no spaces, scripts of three bytes a
+character) is encoded whole.
+
+What stands between two sure boundaries, mostly a word, has the same tokens everywhere. So a new chunk is
+put together from its words, and the library gets only those that are not in a second bounded cache, many
+in one string. Nothing is cut if the tokenizer file does not keep the rules that this rests on.
 
 Decoding joins the tokens' bytes and reads them as UTF-8 with replacement, as the library's decoder does.
 
@@ -32,16 +37,22 @@ from pyspark.sql import functions as F
 from rasterweave.llm.common import map_pieces, mix, utf8
 
 #: A cut at one in this many places; bytes of keys and ids that a worker's cache holds.
-CHUNK_BYTES, CACHE_BYTES = 1024, 48 << 20
+CHUNK_BYTES, CACHE_BYTES = 1024, 32 << 20
 HASH_BYTES = 16
+#: The same of the cache of words; a longer word is not kept; new words in one string.
+WORD_CACHE_BYTES, WORD_BYTES, STRING_WORDS = 48 << 20, 64, 512
+#: What an entry of a cache takes beside key and ids, about.
+ENTRY_BYTES = 160
 #: A text is cut only if its joins are expected to be this share of it at most.
 SPARED = 0.25
-#: Chunks that the library gets at once.
-ENCODE_ROWS = 256
-_SPACES = np.zeros(256, dtype=bool)
-_SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LETTERS = np.zeros(256, dtype=bool)
-_LETTERS[ord("A") : ord("Z") + 1] = _LETTERS[ord("a") : ord("z") + 1] = True
+#: Chunks that are put together at once; strings that the library gets at once.
+CHUNK_ROWS, ENCODE_ROWS = 1024, 256
+_BREAKS = np.zeros(256, dtype=bool)
+_BREAKS[[0x20, 0x0A]] = True
+#: Marks that no token of the pre-tokenizer holds after a letter.
+STOPS = ",.;:!?"
+_STOPS = np.zeros(256, dtype=bool)
+_STOPS[list(STOPS.encode())] = True
 
 
 def _byte_of_symbol() -> dict[str, int]:
@@ -53,10 +64,10 @@ def _byte_of_symbol() -> dict[str, int]:
 
 def chunks_hold(file: dict) -> bool:
     """Whether a tokenizer file keeps the rules that the sure boundaries rest on: byte-level words by the usual
-    pattern, nothing normalised, no merging left to chance, no added token that holds or eats a space."""
+    pattern, nothing normalised, no merging left to chance, no added token that holds or eats white space or holds one of STOPS."""
     words = file.get("pre_tokenizer") or {}
     plain = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space", True)
-    added = all(" " not in t["content"] and not t.get("lstrip") and not t.get("rstrip") and not t.get("single_word") for t in file.get("added_tokens") or [])
+    added = all(not any(c.isspace() or c in STOPS for c in t["content"]) and not t.get("lstrip") and not t.get("rstrip") and not t.get("single_word") for t in file.get("added_tokens") or [])
     model = file.get("model") or {}
     return plain and added and file.get("normalizer") is None and model.get("type", "BPE") == "BPE" and not model.get("dropout")
 
@@ -82,7 +93,9 @@ class Codec:
         self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
         self.cache: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         self.older: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-        self.held = 0
+        self.words: dict[bytes, bytes] = {}
+        self.older_words: dict[bytes, bytes] = {}
+        self.held = self.held_words = 0
         self.encoded = self.reused = self.repaired = self.grown = 0
 
     def _encode(self, wanted: list[bytes]) -> None:
@@ -93,13 +106,55 @@ class Codec:
         fresh = list(dict.fromkeys(w for w in wanted if w not in self.cache))
         self.reused += len(wanted) - len(fresh)
         self.encoded += len(fresh)
-        for at in range(0, len(fresh), ENCODE_ROWS):
-            part = fresh[at : at + ENCODE_ROWS]
-            for key, made in zip(part, self.library.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                ids = np.array(made.ids, dtype=np.uint32)
+        for at in range(0, len(fresh), CHUNK_ROWS):
+            part = fresh[at : at + CHUNK_ROWS]
+            for key, ids in zip(part, self._by_words(part) if self.divisible else self._library(part), strict=True):
                 self.cache[key] = (ids, np.cumsum(self.lengths[ids]))
                 self.held += len(key) + 12 * len(ids) + 200
 
+    def _library(self, wanted: list[bytes]) -> Iterator[np.ndarray]:
+        for at in range(0, len(wanted), ENCODE_ROWS):
+            for made in self.library.encode_batch_fast([w.decode() for w in wanted[at : at + ENCODE_ROWS]], add_special_tokens=False):
+                yield np.array(made.ids, dtype="<u4")
+
+    def _by_words(self, wanted: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts that are not empty, put together from those of their words."""
+        if self.held_words > WORD_CACHE_BYTES // 2:  # as in the cache of chunks
+            self.older_words, self.words, self.held_words = self.words, {}, 0
+        raw = b"".join(wanted)
+        data = np.frombuffer(raw, dtype=np.uint8)
+        starts = np.cumsum([0, *[len(w) for w in wanted]])
+        mark = np.zeros(len(raw) + 1, dtype=bool)
+        mark[sure_places(data)] = mark[starts] = True
+        places = np.flatnonzero(mark)
+        codes = pa.Array.from_buffers(pa.large_binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(raw)]).dictionary_encode().indices.to_numpy()
+        first = np.zeros(codes.max() + 1, dtype=np.int64)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        begins, ends = places[first], places[first + 1]
+        words = [raw[x:y] for x, y in zip(begins.tolist(), ends.tolist(), strict=True)]
+        ids = list(map(self.words.get, words))
+        missed = [k for k, i in enumerate(ids) if i is None]
+        for k in missed:
+            ids[k] = self.older_words.pop(words[k], None)
+        fresh = np.array([k for k in missed if ids[k] is None], dtype=np.int64)
+        joins = _BREAKS[data[begins[fresh]]] & visible(data)[ends[fresh] - 1]
+        joined, alone = fresh[joins].tolist(), fresh[~joins].tolist()
+        # words that begin at white space and end before it stay apart in one string
+        groups = [joined[k : k + STRING_WORDS] for k in range(0, len(joined), STRING_WORDS)] + [[k] for k in alone]
+        for group, made in zip(groups, self._library([b"".join([words[k] for k in g]) for g in groups]), strict=True):
+            bounds = np.cumsum([len(words[k]) for k in group])
+            stops = (4 * (np.searchsorted(np.cumsum(self.lengths[made]), bounds) + 1)).tolist()
+            packed = made.tobytes()
+            for k, i, j in zip(group, [0, *stops], stops, strict=False):
+                ids[k] = packed[i:j]
+        for k in missed:
+            if len(words[k]) <= WORD_BYTES and self.held_words <= WORD_CACHE_BYTES:
+                self.words[words[k]] = ids[k]
+                self.held_words += len(words[k]) + len(ids[k]) + ENTRY_BYTES
+        at = np.searchsorted(places, starts).tolist()
+        spread = list(map(ids.__getitem__, codes.tolist()))
+        return [np.frombuffer(b"".join(spread[i:j]), dtype="<u4") for i, j in zip(at, at[1:], strict=False)]
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of every text."""
         if self.held > CACHE_BYTES // 2:  # what isn't met again before the next turn is forgotten
@@ -204,13 +259,17 @@ def cut_places(data: np.ndarray) -> np.ndarray:
     return at[(data[at] & 0xC0) != 0x80]
 
 
+def visible(data: np.ndarray) -> np.ndarray:
+    """Whether a byte ends a character that is no white space, for sure (ASCII, or of two bytes from U+00C0 on)."""
+    ends = (data > 0x20) & (data < 0x7F)
+    ends[1:] |= (data[1:] >= 0x80) & (data[:-1] >= 0xC3) & (data[:-1] < 0xE0)
+    return ends
+
+
 def sure_places(data: np.ndarray) -> np.ndarray:
-    """Places of a space between a character that is no white space (ASCII) and an ASCII letter."""
-    if len(data) < 3:
-        return np.zeros(0, dtype=np.int64)
-    before = data[:-2]
-    plain = (before < 0x80) & ~_SPACES[before] & (before > 0x20) & (before != 0x7F)
-    return np.flatnonzero(plain & (data[1:-1] == 0x20) & _LETTERS[data[2:]]) + 1
+    """Places of a space or line feed after a character that is no white space, and of STOPS after an ASCII letter."""
+    after, letters = data[1:], ((data[:-1] | 0x20) - np.uint8(ord("a"))) < 26
+    return np.flatnonzero(visible(data)[:-1] & ((after == 0x20) | (after == 0x0A)) | letters & _STOPS[after]) + 1
 
 
 _codecs: dict[str, Codec] = {}

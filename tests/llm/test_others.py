@@ -72,6 +72,39 @@ def test_bpe_equals_library(spark, odd, nothing, monkeypatch):
     assert all(back[i] == t for i, t in texts.items()) and bpe.digests(nothing).count() == 0
 
 
+def test_bpe_words_reach_the_library_once(monkeypatch):
+    """New chunks are put together from known words; with caches that turn over and words of all kinds ids stay the library's."""
+    import json
+
+    codec, rng, sent = bpe.Codec(bpe.default_vocabulary()), random.Random(3), []
+    library = codec.library
+
+    class Spy:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(len(t) for t in texts)
+            return library.encode_batch_fast(texts, **options)
+
+    def equal(texts):
+        return [i.tolist() for i in codec.encode(*utf8(pa.array(texts)))] == [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    codec.library = Spy()
+    words = ["".join(rng.choice("abcdeéñж") for _ in range(rng.randint(1, 9))) for _ in range(200)]
+    long = [" ".join(rng.choice(words) + rng.choice(["", ",", ".\n"]) for _ in range(5000)) for _ in range(3)]
+    assert equal(long) and sum(sent) < sum(map(len, long)) / 5
+    parts = [" ", "  ", "\n", " \n", "\t", "\x85", "\xa0", "\u2003", "\u3000", "\u0301", "a", "Bc", "é", "ñ", "ж", "漢", "😀", "'s", "'", ",", ".", "?!", "12", "\x7f", "x" * 70, "<|endoftext|>", "<|endo", "|>", " the", " é"]
+    odd = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(600)]
+    for changes in ({}, {"WORD_CACHE_BYTES": 3000}, {"WORD_CACHE_BYTES": 0, "STRING_WORDS": 2}, {"CHUNK_BYTES": 7, "SPARED": float("inf"), "CHUNK_ROWS": 5}):
+        for name, value in changes.items():
+            monkeypatch.setattr(bpe, name, value)
+        codec.cache, codec.older = {}, {}
+        assert all(equal(odd[k : k + 50]) for k in range(0, len(odd), 50))
+    with open(bpe.default_vocabulary(), encoding="utf-8") as f:
+        file = json.load(f)
+    token = {"id": len(file["model"]["vocab"]), "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False}
+    assert bpe.chunks_hold(file | {"added_tokens": [*file["added_tokens"], token | {"content": "ab"}]})
+    assert not any(bpe.chunks_hold(file | {"added_tokens": [*file["added_tokens"], token | {"content": c}]}) for c in ("a b", "a\nb", "a,b"))
+
+
 def test_licences(spark, odd, nothing):
     model = licenses.fit([f"the river {k} ran under the old bridge and on" for k in range(60)])
     texts, labels = licenses.examples(9, 2)
