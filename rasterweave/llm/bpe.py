@@ -37,16 +37,18 @@ from pyspark.sql import functions as F
 from rasterweave.llm.common import map_pieces, mix, utf8
 
 #: A cut at one in this many places; bytes of keys and ids that a worker's cache holds.
-CHUNK_BYTES, CACHE_BYTES = 1024, 32 << 20
+CHUNK_BYTES, CACHE_BYTES = 1024, 24 << 20
 HASH_BYTES = 16
+#: Bytes that are hashed at once.
+BLOCK_BYTES = 1 << 16
 #: The same of the cache of words; a longer word is not kept; new words in one string.
-WORD_CACHE_BYTES, WORD_BYTES, STRING_WORDS = 48 << 20, 64, 512
+WORD_CACHE_BYTES, WORD_BYTES, STRING_WORDS = 48 << 20, 64, 128
 #: What an entry of a cache takes beside key and ids, about.
 ENTRY_BYTES = 160
 #: A text is cut only if its joins are expected to be this share of it at most.
 SPARED = 0.25
 #: Chunks that are put together at once; strings that the library gets at once.
-CHUNK_ROWS, ENCODE_ROWS = 1024, 256
+CHUNK_ROWS, ENCODE_ROWS = 1024, 64
 _BREAKS = np.zeros(256, dtype=bool)
 _BREAKS[[0x20, 0x0A]] = True
 #: Marks that no token of the pre-tokenizer holds after a letter.
@@ -91,15 +93,15 @@ class Codec:
         for token, i in vocabulary.items():
             self.bytes_of[i] = token.encode() if token in added else bytes(symbols[c] for c in token)
         self.lengths = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
-        self.cache: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-        self.older: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        self.cache: dict[bytes, np.ndarray] = {}
+        self.older: dict[bytes, np.ndarray] = {}
         self.words: dict[bytes, bytes] = {}
         self.older_words: dict[bytes, bytes] = {}
         self.held = self.held_words = 0
         self.encoded = self.reused = self.repaired = self.grown = 0
 
     def _encode(self, wanted: list[bytes]) -> None:
-        """Puts what is not in the cache there: ids and the byte at which each token ends."""
+        """Puts the ids of what is not in the cache there."""
         for w in wanted:
             if w not in self.cache and w in self.older:
                 self.cache[w] = self.older.pop(w)
@@ -109,8 +111,8 @@ class Codec:
         for at in range(0, len(fresh), CHUNK_ROWS):
             part = fresh[at : at + CHUNK_ROWS]
             for key, ids in zip(part, self._by_words(part) if self.divisible else self._library(part), strict=True):
-                self.cache[key] = (ids, np.cumsum(self.lengths[ids]))
-                self.held += len(key) + 12 * len(ids) + 200
+                self.cache[key] = ids
+                self.held += len(key) + 4 * len(ids) + 200
 
     def _library(self, wanted: list[bytes]) -> Iterator[np.ndarray]:
         for at in range(0, len(wanted), ENCODE_ROWS):
@@ -203,7 +205,7 @@ class Codec:
                     break
                 parts += kept
                 if hi > lo:
-                    parts.append(self.cache[raw[lo:hi]][0])
+                    parts.append(self.cache[raw[lo:hi]])
                 at = hi
             if grown is None:
                 self.repaired += len(spans)
@@ -218,7 +220,8 @@ class Codec:
         out = []
         k = bisect_right(edges, lo) - 1
         while k < len(chunks) and edges[k] < hi:
-            ids, ends = self.cache[chunks[k]]
+            ids = self.cache[chunks[k]]
+            ends = np.cumsum(self.lengths[ids])
             x, y = max(lo, edges[k]) - edges[k], min(hi, edges[k + 1]) - edges[k]
             i = int(np.searchsorted(ends, x)) + 1 if x else 0
             j = int(np.searchsorted(ends, y)) + 1
@@ -249,12 +252,15 @@ class Codec:
 
 def cut_places(data: np.ndarray) -> np.ndarray:
     """Places at which a hash of the 16 bytes before is one in CHUNK_BYTES, never inside a character."""
-    if len(data) <= HASH_BYTES:
-        return np.zeros(0, dtype=np.int64)
-    words = np.ndarray((len(data) - 7,), dtype="<u8", buffer=np.ascontiguousarray(data), strides=(1,))
-    with np.errstate(over="ignore"):
-        rolled = mix(words[:-8] * np.uint64(0x9E3779B97F4A7C15) + words[8:])
-    at = np.flatnonzero(rolled % np.uint64(CHUNK_BYTES) == 0) + HASH_BYTES
+    data = np.ascontiguousarray(data)
+    at = [np.zeros(0, dtype=np.int64)]
+    for start in range(0, len(data) - HASH_BYTES, BLOCK_BYTES):
+        block = data[start : start + BLOCK_BYTES + HASH_BYTES - 1]
+        words = np.ndarray((len(block) - 7,), dtype="<u8", buffer=block, strides=(1,))
+        with np.errstate(over="ignore"):
+            rolled = mix(words[:-8] * np.uint64(0x9E3779B97F4A7C15) + words[8:])
+        at.append(np.flatnonzero(rolled % np.uint64(CHUNK_BYTES) == 0) + (start + HASH_BYTES))
+    at = np.concatenate(at)
     at = at[at < len(data)]
     return at[(data[at] & 0xC0) != 0x80]
 

@@ -91,6 +91,9 @@ def test_bpe_words_reach_the_library_once(monkeypatch):
     words = ["".join(rng.choice("abcdeéñж") for _ in range(rng.randint(1, 9))) for _ in range(200)]
     long = [" ".join(rng.choice(words) + rng.choice(["", ",", ".\n"]) for _ in range(5000)) for _ in range(3)]
     assert equal(long) and sum(sent) < sum(map(len, long)) / 5
+    cuts = bpe.cut_places(utf8(pa.array(long))[0]).tolist()
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 100)
+    assert bpe.cut_places(utf8(pa.array(long))[0]).tolist() == cuts and cuts
     parts = [" ", "  ", "\n", " \n", "\t", "\x85", "\xa0", "\u2003", "\u3000", "\u0301", "a", "Bc", "é", "ñ", "ж", "漢", "😀", "'s", "'", ",", ".", "?!", "12", "\x7f", "x" * 70, "<|endoftext|>", "<|endo", "|>", " the", " é"]
     odd = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(600)]
     for changes in ({}, {"WORD_CACHE_BYTES": 3000}, {"WORD_CACHE_BYTES": 0, "STRING_WORDS": 2}, {"CHUNK_BYTES": 7, "SPARED": float("inf"), "CHUNK_ROWS": 5}):
